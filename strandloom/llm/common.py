@@ -42,6 +42,8 @@ def shingle_hashes(tokens: Column, width: int) -> Column:
     )
 
 
+#: Spark's setting by which a finished query's shuffle files go at once.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, SparkSession] = {}
 
 
@@ -59,12 +61,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, partition: str | None = None) -> DataFrame:
+def save(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs no more
     than its own tasks. The folder goes when the session's Python ends, or at :func:`discard`."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition) if partition else out).parquet(path)
+    spark, held = df.sparkSession, df.sparkSession.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # what this one write shuffled is not read again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, held) if held is not None else spark.conf.unset(CLEAN)
     _written[path] = df.sparkSession
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._strandloom_path = path
