@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, line_dedup, mixing, ppm, quality_rules, simhash, suffix_dedup
+from corpus_pipeline import run as pipeline
+
+from . import fingerprints, langid, license_scan, line_dedup, mixing, ppm, quality_rules, simhash, sp_dropout, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -37,6 +39,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sp_dropout.decode(sp_dropout.encode(_table(spark, sf_dir).select("doc_id", "text")))
+    return out.select(
+        "doc_id",
+        sp_dropout.n_pieces(F.col("pieces")).alias("n_pieces"),
+        F.sha2("pieces", 256).alias("pieces_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(_table(spark, sf_dir))
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, x: s + x.end - x.start)
@@ -65,6 +78,11 @@ SELECT *, (('0x' || substr(md5('mix:place:' || coalesce(doc_id::VARCHAR, '-') ||
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").alias("n_matches"), F.explode_outer("licenses").alias("m")).select("doc_id", "n_matches", "m.license", "m.coverage", "m.start", "m.end")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -113,10 +131,13 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_langid": op9_langid,

@@ -170,3 +170,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = save(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written: a root of many can then be split
     of = save(named.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return docs.join(of, "fp").select("id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component; of rows that repeat such an id, one. Rows with a
+    null id all stay."""
+    found = save(near_duplicates(df, id_col, text_col, **kw))
+    first = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n"))
+    first = save(first.select(F.col("id").alias("_keep"), "n"))
+    key = F.col(f"`{id_col}`")
+    once = df.join(first.where("n = 1").select("_keep"), key == F.col("_keep"), "left_semi")
+    lost = df.where(key.isNull())
+    if first.where("n > 1").isEmpty():
+        return once.unionByName(lost)
+    more = df.join(first.where("n > 1").select("_keep"), key == F.col("_keep"), "left_semi")
+    return once.unionByName(more.dropDuplicates([id_col])).unionByName(lost)
