@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ def shingle_hashes(tokens: Column, width: int) -> Column:
 
 #: Spark's setting by which a finished query's shuffle files go at once.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: dict[str, SparkSession] = {}
 
 
@@ -77,6 +79,17 @@ def save(df: DataFrame) -> DataFrame:
     return back
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside."""
+    held = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, held) if held is not None else spark.conf.unset(BATCH)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, save
+from .common import batches_of, discard, documents, save
 
 ORDER, END, BEFORE, SYMBOLS, BITS = 5, 256, 257, 257, 9
-PART, FREQUENT, CHUNK, SPREAD = 12_000_000, 200_000, 1 << 22, 40503
+PART, FREQUENT, CHUNK, SPREAD = 12_000_000, 200_000, 1 << 20, 40503
+#: Documents that a worker is given at a time; a worker holds a part of the trie besides.
+ROWS = 500
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             held.append((keys[first], np.diff(np.append(first, len(keys)))))
             rows += len(first)
-            if rows > 4_000_000:
+            if rows > 2_000_000:
                 yield from flush()
                 held, rows = [], 0
         if held:
@@ -167,6 +169,7 @@ class Trie:
             whole = np.repeat(top["total"] + top["distinct"], top["distinct"])
             self.log = np.log10(top["counts"] / whole).astype(np.float64)
         self.table = _Table(top["keys"])
+        top["keys"] = top["counts"] = None  # the table has them
 
     @staticmethod
     def _level(keys: np.ndarray, counts: np.ndarray) -> dict:
@@ -191,10 +194,10 @@ class Trie:
         above = np.full(len(keys), -1)  # the node escaped from, of the order above
         for k in range(self.order, -1, -1):
             lv, own = self.levels[k], keys[left] & np.uint64((1 << BITS * (k + 1)) - 1)
-            if not len(lv["keys"]):
+            if not len(lv["nodes"]):
                 continue
             node = _place(lv["nodes"], own >> np.uint64(BITS))
-            entry = _place(lv["keys"], own)
+            entry = _place(lv["keys"], own) if k < self.order else np.full(len(left), -1)  # or it were in the table
             ab = above[left]
             up = self.levels[min(k + 1, self.order)]
             known = node >= 0
@@ -207,7 +210,7 @@ class Trie:
             else:
                 whole, esc = fresh_all, fresh_esc
             found = entry >= 0
-            chance = np.where(found, lv["counts"][np.maximum(entry, 0)], esc)
+            chance = np.where(found, lv["counts"][np.maximum(entry, 0)], esc) if k < self.order else esc
             costs = known & (whole > 0)  # nothing is left where all followers were ruled out: no choice, no cost
             out[left[costs]] += np.log10(chance[costs] / whole[costs])
             above[left] = np.where(known, node, -1)
@@ -401,7 +404,8 @@ def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     if seen.count() > part:  # read more than once: the rows' numbers must be the same each time
         rows = save(rows)
     scored = score(rows.withColumn("u", unigram("text")), seen, order, part)
-    first = save(scored.select("id", "row", "score", "u.n", "u.known", "u.log", "u.rare"))
+    with batches_of(docs.sparkSession, ROWS):
+        first = save(scored.select("id", "row", "score", "u.n", "u.known", "u.log", "u.rare"))
     discard(seen)
     others = first.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.k").join(tokens, "token")
     others = others.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("s"))
