@@ -18,7 +18,6 @@ import pyarrow as pa
 from .patterns import MatchType
 
 RESULT = "struct<choice:int,start:int,end:int,pattern:string>"
-_LOW = -(1 << 20)
 
 
 def _matrix(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +49,21 @@ def _hamming(m: np.ndarray, n: np.ndarray, p: np.ndarray, place: str) -> tuple[n
     return best, at
 
 
+#: A state of the dynamic program is one number, so that the better of two is the greater: from the top its score, which way
+#: it came, how far left it begins, equal columns, columns.
+_WAY, _BEGIN, _EQUAL = 45, 25, 13
+_SCORE, _LEFTMOST, _ZERO = 47, (1 << 20) - 1, 1 << 14
+_NO_WAY = ~(3 << _WAY)
+
+
+def _state(begin: int, score: int = 0, columns: int = 0) -> int:
+    return (_ZERO + score) << _SCORE | (_LEFTMOST - begin) << _BEGIN | columns
+
+
+def _cost(score: int, equal: int = 0) -> int:
+    return (score << _SCORE) + (equal << _EQUAL) + 1
+
+
 def align(p: np.ndarray, s: np.ndarray, start: str, end: str) -> dict[str, np.ndarray]:
     """Align a pattern with rows of equal length.
 
@@ -58,67 +72,51 @@ def align(p: np.ndarray, s: np.ndarray, start: str, end: str) -> dict[str, np.nd
     read) of each row's best alignment.
     """
     rows, width = s.shape
-    zero, low = np.zeros(rows, np.int64), np.full(rows, _LOW, np.int64)
-    # a state is (score, equal, columns, begin); three for each cell: ends diagonal, with a gap in the read, in the pattern
-    fresh = lambda b: (zero, zero, zero, np.full(rows, b, np.int64))
-    never = (low, zero, zero, zero)
-
-    def pick(*states):
-        out = states[0]
-        for x in states[1:]:
-            take = x[0] > out[0]
-            out = tuple(np.where(take, a, b) for a, b in zip(x, out, strict=True))
-        return out
-
-    def step(x, cost, eq=0):
-        return (x[0] + cost, x[1] + eq, x[2] + 1, x[3])
-
-    best, stop = None, zero
-
-    def offer(cell, j):
+    if width > _LEFTMOST or len(p) > 4000:
+        raise ValueError("alignments take patterns up to 4000 and strings up to 1048575 bytes")
+    full = lambda x: np.full(rows, x, np.int64)
+    never = full(_state(0, -_ZERO // 2))
+    best, stop = full(0), full(0)
+    opened, longer = _cost(-2), _cost(-1)
+    equal_cost, unequal_cost = _cost(1, 1), _cost(-1)
+    letters = [np.where(s == c, equal_cost, unequal_cost) for c in np.unique(p)] if len(p) else []
+    which = np.searchsorted(np.unique(p), p)
+
+    def offer(i: int, j: int, cell: np.ndarray) -> None:
         nonlocal best, stop
-        if best is None:
-            best, stop = cell, np.full(rows, j, np.int64)
-            return
-        take = (cell[0] > best[0]) | ((cell[0] == best[0]) & (cell[3] < best[3]))
-        best = tuple(np.where(take, a, b) for a, b in zip(cell, best, strict=True))
-        stop = np.where(take, j, stop)
-
-    def ends(i, j, cell):
-        if end == "any" or (end == "both" and i == len(p) and j == width) or (end == "pattern" and j == width):
-            offer(cell, j)
-
-    diag, up, left = [], [], []  # of the pattern row above
+        if end == "any" or (j == width and (end == "pattern" or i == len(p))):
+            better = cell > best
+            best, stop = np.where(better, cell, best), np.where(better, j, stop)
+
+    # of the pattern's bytes so far, for each place in the read: the best state, and the best that ends in a gap of the read
+    cells, ups = [], []
     for j in range(width + 1):
         if j == 0 or start != "both":
-            diag.append(fresh(j)), left.append(never)
+            cells.append(full(_state(j)))
         else:
-            left.append(step(left[-1] if j > 1 else (zero - 1, zero, zero, zero), -1))
-            diag.append(never)
-        up.append(never)
-        ends(0, j, pick(diag[j], left[j]))
+            cells.append(full(_state(0, -1 - j, j)))
+        ups.append(never)
+        offer(0, j, cells[j])
     for i in range(1, len(p) + 1):
-        d2, u2, l2 = [], [], []
+        new_cells, new_ups, left = [], [], never
+        pay = letters[which[i - 1]]
         for j in range(width + 1):
-            above = pick(diag[j], up[j], left[j])
-            opened, longer = step(above, -2), step(up[j], -1)
-            u = pick(opened, longer)
+            up = np.maximum(cells[j] + opened, ups[j] + longer)
             if j:
-                before = pick(diag[j - 1], up[j - 1], left[j - 1])
-                if start == "any":
-                    new = fresh(j - 1)
-                    restart = before[0] < 0
-                    before = tuple(np.where(restart, a, b) for a, b in zip(new, before, strict=True))
-                eq = (s[:, j - 1] == p[i - 1]).astype(np.int64)
-                d = step(before, 2 * eq - 1, eq)
-                beside = pick(d2[-1], u2[-1], l2[-1])
-                lf = pick(step(beside, -2), step(l2[-1], -1))
+                before = np.maximum(cells[j - 1], _state(j - 1)) if start == "any" else cells[j - 1]
+                diag = before + pay[:, j - 1]
+                left = np.maximum(new_cells[-1] + opened, left + longer)
+                cell = np.maximum(np.maximum(diag | 2 << _WAY, up | 1 << _WAY), left) & _NO_WAY
             else:
-                d, lf = (fresh(0) if start == "any" else never), never
-            d2.append(d), u2.append(u), l2.append(lf)
-            ends(i, j, pick(d, u, lf))
-        diag, up, left = d2, u2, l2
-    return {"score": best[0], "equal": best[1], "columns": best[2], "begin": best[3], "stop": stop}
+                cell = np.maximum(up, _state(0)) if start == "any" else up
+            new_cells.append(cell)
+            new_ups.append(up)
+            offer(i, j, cell)
+        cells, ups = new_cells, new_ups
+    return {
+        "score": (best >> _SCORE) - _ZERO, "equal": best >> _EQUAL & 4095, "columns": best & 8191,
+        "begin": _LEFTMOST - (best >> _BEGIN & _LEFTMOST), "stop": stop,
+    }
 
 
 def _end_alignment(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

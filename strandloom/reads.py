@@ -478,13 +478,15 @@ class Reads:
     run_collect_reads = collect
 
     def flat(self, **columns: str) -> DataFrame:
-        """A table: each column a template, or ``type.label:start``, ``type.label:len``, or ``type.label.attr?`` for whether
+        """A table: each column a template, or ``type.label:start``, ``:len`` or ``:qual``, or ``type.label.attr?`` for whether
         an attribute counts as true; null where a label or attribute is absent."""
         out = []
         for name, text in columns.items():
             head, _, tail = text.rpartition(":")
             if tail in ("start", "len") and head:
                 c = self._c.span(label(head)).getField(tail).cast("bigint")
+            elif tail == "qual" and head:
+                c = self._c.text(label(head), True)
             elif text.endswith("?"):
                 c = values.as_bool(self._c.value(attr(text[:-1])))
             elif text == "idx":
