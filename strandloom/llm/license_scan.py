@@ -97,8 +97,8 @@ class Index:
             for s in sorted({x for x in where if x > -len(own)}):
                 if s + len(own) <= free:  # aligned already
                     continue
-                got = align(own, ids, s, band)
-                if got and len(got) >= coverage * len(own) and got[0] >= free:
+                got = align(own, ids, s, band, free)
+                if got and len(got) >= coverage * len(own):
                     found.append((got[0], got[-1], k, len(got) / len(own)))
                     free = got[-1] + 1
         found.sort(key=lambda x: (x[0] - x[1], x[0], self.names[x[2]]))
@@ -109,10 +109,10 @@ class Index:
         return [{"license": self.names[k], "coverage": c, "start": spots[a][0], "end": spots[b][1]} for a, b, k, c in sorted(kept)]
 
 
-def align(own: list[int], ids: np.ndarray, start: int, band: int) -> list[int]:
+def align(own: list[int], ids: np.ndarray, start: int, band: int, free: int = 0) -> list[int]:
     """The document places of the template's words in the best alignment near ``start``: most words found in order, then
-    the earliest; a word may be ``band`` places off at most."""
-    low = max(0, start - band)
+    the earliest; a word may be ``band`` places off at most, and none stands before ``free``."""
+    low = max(free, start - band)
     text = ids[low : max(0, start + len(own) + band)].tolist()
     shift = start - low  # the template's word j is looked for at j + shift in the slice, give or take the band
     rows: list[dict[int, tuple[int, int]]] = []

@@ -42,6 +42,8 @@ ROWS = 500
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """For every symbol of the texts, itself and the ``order`` symbols before it as one number (its own bits lowest), and
     where each text's symbols begin."""
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
     sizes = np.array([len(t) + 1 + order for t in texts], np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(b"\0" * order + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
