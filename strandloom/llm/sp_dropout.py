@@ -6,8 +6,9 @@ candidate) falls below the rate, so a text can be cut in many ways, yet the same
 executor and after any loss. ``variants`` says how many ways one seed holds; a document's comes from the hash of its id.
 Rate 0 gives the plain encoding of the SentencePiece library.
 
-No piece crosses from text to a blank, so a text is encoded in chunks (a run of blanks and what follows), and each worker
-keeps the chunks it has seen, at most ``KEPT``.
+Texts are encoded in chunks that no piece crosses (a run of blanks and a word, or marks), and chunks in parts between
+characters that are neighbours in no piece, so that nothing is lost by it; each worker keeps the chunks and parts it has
+seen, at most ``KEPT`` of each.
 
 Lossless: what the model lacks, and the blank mark itself where the text has it, is written as byte pieces; decoding gives
 the text's bytes back. A null text counts as empty, and an empty text has no pieces. The model is read from its path by
@@ -25,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, KEPT, MODEL = "▁", 400_000, "/opt/tokenizers/piece_bpe_32k.model"
-_M1, _M2, _M3, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, (1 << 64) - 1
+MARK, KEPT, MODEL = "▁", 150_000, "/opt/tokenizers/piece_bpe_32k.model"
+_HALF, _NONE = (1 << 32) - 1, -1e30
 
 
 class Model:
@@ -51,37 +52,40 @@ class Model:
             raise ValueError("the model has no byte pieces, so not every text could be decoded")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model has pieces across blanks")
-        line = "" if any("\n" in p for p in self.ids) else "\n"
-        self.chunks = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else "")).findall
+        #: Neighbours inside pieces; between any other two characters no merge can ever be.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        alone = {c for c in map(chr, range(33, 127)) if not c.isalnum()} | {"\n"}  # marks that join marks and blanks alone
+        while drop := {c for c in alone for x in self.joined if c in x and not (alone | ({MARK} if x[1] == c else set())).issuperset(x)}:
+            alone -= drop
+        marks = "".join(map(re.escape, sorted(alone)))
+        self.chunks = re.compile((f"{MARK}*[{marks}]+|" if marks else "") + f"{MARK}*[^{MARK}{marks}]+|{MARK}+").findall
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut wherever nothing can merge."""
+        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.joined), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_chunk(self, chunk: str, rate: float, key: bytes) -> list[int]:
-        """Ids of a chunk; the blank mark stands for blanks, NUL followed by nothing never merges."""
-        score, ids = self.score.get, self.ids
-        base = xxhash.xxh64_intdigest(chunk.encode() + b"\0" + key) if rate else 0
+        """Ids of a chunk; the blank mark stands for blanks."""
+        score, ids, n = self.score.get, self.ids, len(chunk)
+        base = xxhash.xxh64_intdigest(chunk.encode() + b"\0" + key) & _HALF if rate else 0
         least = int(rate * (1 << 32))
-
-        def worth(a: int, b: int, c: int) -> float | None:
-            s = score(chunk[a:c])
-            if s is None or not rate:
-                return s
-            x = ((base ^ (a * _M1 + b * _M2 + c * _M3)) & _ALL) * _M1 & _ALL
-            x = (x ^ (x >> 31)) * _M2 & _ALL
-            return None if x >> 32 < least else s
-
-        cuts = list(range(len(chunk) + 1))
-        pairs = [worth(i, i + 1, i + 2) for i in range(len(chunk) - 1)]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(pairs):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        cuts = list(range(n + 1))
+        # the agenda: the score of each pair of neighbours, _NONE if they make no piece or were skipped
+        pairs = [score(chunk[i : i + 2], _NONE) for i in range(n - 1)]
+        while pairs and (best := max(pairs)) > _NONE:
+            at = pairs.index(best)
+            if least:
+                x = (base ^ (cuts[at] * 40503 + cuts[at + 1] * 69069 + cuts[at + 2] * 30011)) * 0x9E3779B1 & _HALF
+                x = (x ^ x >> 15) * 0x85EBCA6B & _HALF
+                if x ^ x >> 13 < least:
+                    pairs[at] = _NONE
+                    continue
             del cuts[at + 1], pairs[at]
             if at < len(pairs):
-                pairs[at] = worth(cuts[at], cuts[at + 1], cuts[at + 2])
+                pairs[at] = score(chunk[cuts[at] : cuts[at + 2]], _NONE)
             if at:
-                pairs[at - 1] = worth(cuts[at - 1], cuts[at], cuts[at + 1])
+                pairs[at - 1] = score(chunk[cuts[at - 1] : cuts[at + 1]], _NONE)
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
             piece = chunk[a:b]
@@ -102,14 +106,24 @@ class Model:
 
 
 class _Cache(dict):
+    """Ids by chunk, as bytes. A chunk that is new is put together from its parts, which many chunks share."""
+
     def __init__(self, model: Model, rate: float, key: bytes):
-        self.of = (model, rate, key)
+        self.of, self.parts = (model, rate, key), {}
 
     def __missing__(self, chunk: str) -> bytes:
-        model, rate, key = self.of
+        (model, rate, key), parts = self.of, self.parts
         if len(self) >= KEPT:
             self.clear()
-        self[chunk] = out = np.array(model.encode_chunk(chunk, rate, key), "<i4").tobytes()
+        if len(parts) >= KEPT:
+            parts.clear()
+        out = b""
+        for part in model.parts(chunk):
+            got = parts.get(part)
+            if got is None:
+                parts[part] = got = b"".join([i.to_bytes(4, "little") for i in model.encode_chunk(part, rate, key)])
+            out += got
+        self[chunk] = out
         return out
 
 
@@ -145,7 +159,7 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces", rate: float = 0.1, seed: str = "0", variants: int = 4, model: str = MODEL) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces", rate: float = 0.1, seed: str = "0", variants: int = 2, model: str = MODEL) -> DataFrame:
     """``df`` with the ids of the text's pieces, as little-endian 32-bit numbers."""
     if not 0 <= rate < 1 or variants < 1:
         raise ValueError("rate must be from 0 to below 1, and variants at least 1")
