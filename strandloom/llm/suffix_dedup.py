@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, save
+from .common import batches_of, discard, documents, save
 
 LENGTH, GRAM, CHUNK, STEPS = 400, 64, 1 << 21, (64, 8, 1)
+#: Documents that a worker is given at a time.
+ROWS = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,7 +240,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     if not 8 <= gram < length:
         raise ValueError("length must exceed gram, and gram be 8 or more")
     docs = documents(df, id_col, text_col).select("id", F.xxhash64("text").alias("t"), "text")
-    runs = save(repeats(docs, length, gram)).select(F.col("id").alias("_i"), F.col("t").alias("_t"), "runs")
+    with batches_of(df.sparkSession, ROWS):
+        runs = save(repeats(docs, length, gram))
+    runs = runs.select(F.col("id").alias("_i"), F.col("t").alias("_t"), "runs")
     both = docs.join(runs, docs.id.eqNullSafe(F.col("_i")) & (docs.t == F.col("_t")), "left").select("id", "text", "runs")
 
     @F.arrow_udf("struct<n_bytes:bigint,removed:array<struct<start:bigint,end:bigint>>,kept:binary>")
