@@ -139,6 +139,8 @@ def _aligned(m: np.ndarray, n: np.ndarray, p: np.ndarray, kind: MatchType) -> tu
     score, start, end = np.full(rows, -1), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     size = len(p)
     width = np.minimum(n, kind.window(size)) if kind.place in ("prefix", "suffix") else n
+    if kind.place == "search":  # what pads shorter strings equals no byte, so no local alignment gains by it
+        width = np.full(rows, m.shape[1])
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if kind.place == "suffix":

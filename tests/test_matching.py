@@ -149,3 +149,12 @@ def test_polyx(spark):
                 assert read.mapping("seq1.a") == [0, n] and read.mapping("seq1.b") == [n, len(s) - n]
     assert polyx("CCTAAAAGAAA", "A", False) == (8, 7 / 8) and polyx("AACCCCCCAA", "A", False) == (2, 2.0)
     assert not re.search("A", "CCCC")
+
+
+def test_local_alignment_of_strings_of_many_lengths():
+    r = random.Random(9)
+    strings = ["".join(r.choice("ACGT") for _ in range(r.randrange(25))) for _ in range(80)]
+    kind = LocalAln(0.8, 0.6)
+    together = m.choose(strings, ["ACGTAC", "GGTTA"], kind).to_pylist()
+    assert together == [m.choose([s], ["ACGTAC", "GGTTA"], kind).to_pylist()[0] for s in strings]
+    assert any(together) and not all(together)
