@@ -8,7 +8,7 @@ Rate 0 gives the plain encoding of the SentencePiece library.
 
 Texts are encoded in chunks that no piece crosses (a run of blanks and a word, or marks), and chunks in parts between
 characters that are neighbours in no piece, so that nothing is lost by it; each worker keeps the chunks and parts it has
-seen, at most ``KEPT`` of each.
+seen, at most ``KEPT`` and ``KEPT_PARTS``.
 
 Lossless: what the model lacks, and the blank mark itself where the text has it, is written as byte pieces; decoding gives
 the text's bytes back. A null text counts as empty, and an empty text has no pieces. The model is read from its path by
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, KEPT, MODEL = "▁", 150_000, "/opt/tokenizers/piece_bpe_32k.model"
+MARK, KEPT, KEPT_PARTS, MODEL = "▁", 60_000, 300_000, "/opt/tokenizers/piece_bpe_32k.model"
 _HALF, _NONE = (1 << 32) - 1, -1e30
 
 
@@ -68,14 +68,17 @@ class Model:
     def encode_chunk(self, chunk: str, rate: float, key: bytes) -> list[int]:
         """Ids of a chunk; the blank mark stands for blanks."""
         score, ids, n = self.score.get, self.ids, len(chunk)
-        base = xxhash.xxh64_intdigest(chunk.encode() + b"\0" + key) & _HALF if rate else 0
-        least = int(rate * (1 << 32))
+        if n == 1 and chunk in ids:
+            return [ids[chunk]]
+        base, least = None, int(rate * (1 << 32))
         cuts = list(range(n + 1))
         # the agenda: the score of each pair of neighbours, _NONE if they make no piece or were skipped
         pairs = [score(chunk[i : i + 2], _NONE) for i in range(n - 1)]
         while pairs and (best := max(pairs)) > _NONE:
             at = pairs.index(best)
             if least:
+                if base is None:
+                    base = xxhash.xxh64_intdigest(chunk.encode() + b"\0" + key) & _HALF
                 x = (base ^ (cuts[at] * 40503 + cuts[at + 1] * 69069 + cuts[at + 2] * 30011)) * 0x9E3779B1 & _HALF
                 x = (x ^ x >> 15) * 0x85EBCA6B & _HALF
                 if x ^ x >> 13 < least:
@@ -115,7 +118,7 @@ class _Cache(dict):
         (model, rate, key), parts = self.of, self.parts
         if len(self) >= KEPT:
             self.clear()
-        if len(parts) >= KEPT:
+        if len(parts) >= KEPT_PARTS:
             parts.clear()
         out = b""
         for part in model.parts(chunk):
