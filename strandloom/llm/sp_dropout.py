@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import cache, lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,11 @@ class Model:
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut wherever nothing can merge."""
-        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.joined), len(chunk)]
-        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+        joined = self.joined
+        cuts = [i for i, two in enumerate(map(add, chunk, chunk[1:]), 1) if two not in joined]
+        if not cuts:
+            return [chunk]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
 
     def encode_chunk(self, chunk: str, rate: float, key: bytes) -> list[int]:
         """Ids of a chunk; the blank mark stands for blanks."""
@@ -73,7 +77,7 @@ class Model:
         base, least = None, int(rate * (1 << 32))
         cuts = list(range(n + 1))
         # the agenda: the score of each pair of neighbours, _NONE if they make no piece or were skipped
-        pairs = [score(chunk[i : i + 2], _NONE) for i in range(n - 1)]
+        pairs = [score(two, _NONE) for two in map(add, chunk, chunk[1:])]
         while pairs and (best := max(pairs)) > _NONE:
             at = pairs.index(best)
             if least:
