@@ -27,8 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, KEPT, KEPT_PARTS, MODEL = "▁", 60_000, 300_000, "/opt/tokenizers/piece_bpe_32k.model"
-_HALF, _NONE = (1 << 32) - 1, -1e30
+MARK, KEPT, KEPT_PARTS, MODEL = "▁", 50_000, 100_000, "/opt/tokenizers/piece_bpe_32k.model"
+_HALF, _NONE, _LACKING = (1 << 32) - 1, -1e30, 1 << 20
+#: Parts up to so long are encoded many at a time; texts of so many characters in all are looked through for them.
+_WIDE, _ROWS, _AT_ONCE = 24, 1 << 14, 2_000_000
 
 
 class Model:
@@ -61,6 +63,95 @@ class Model:
         marks = "".join(map(re.escape, sorted(alone)))
         self.chunks = re.compile((f"{MARK}*[{marks}]+|" if marks else "") + f"{MARK}*[^{MARK}{marks}]+|{MARK}+").findall
 
+        # all merges as numbers: a symbol is a piece's id, or _LACKING + code point for a character that is no piece
+        pairs = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self._symbol(piece[:k]), self._symbol(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a << 21 | b] = i
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        self.scores = np.full(sp.get_piece_size(), _NONE)
+        for piece, i in self.ids.items():
+            self.scores[i] = self.score[piece]
+
+    def _symbol(self, piece: str) -> int | None:
+        return self.ids.get(piece, _LACKING + ord(piece) if len(piece) == 1 else None)
+
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and score of each pair of symbols; no score where they make no piece."""
+        key = a << 21 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        made = np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
+        return made, np.where(made >= 0, self.scores[made], _NONE)
+
+    def encode_parts(self, parts: list[str], rate: float, key: bytes) -> list[bytes]:
+        """What :meth:`encode_chunk` gives for each part, as 32-bit numbers: a merge of every part at a time."""
+        wide = [p for p in parts if 1 < len(p) <= _WIDE]
+        done: dict[str, bytes] = {}
+        for s in range(0, len(wide), _ROWS):
+            done.update(self._encode_rows(wide[s : s + _ROWS], rate, key))
+        return [done[p] if p in done else b"".join([i.to_bytes(4, "little") for i in self.encode_chunk(p, rate, key)]) for p in parts]
+
+    def _encode_rows(self, parts: list[str], rate: float, key: bytes) -> dict[str, bytes]:
+        n = np.array([len(p) for p in parts])
+        codes = np.array(parts).view(np.uint32).reshape(len(parts), -1)
+        found, back = np.unique(codes, return_inverse=True)
+        sym = np.array([self._symbol(chr(c)) for c in found.tolist()], np.int64)[back].reshape(codes.shape)
+        width = sym.shape[1]
+        cols = np.arange(width)
+        cuts = np.broadcast_to(np.arange(width + 1), (len(parts), width + 1)).copy()
+        made, pairs = self._merges(sym[:, :-1], sym[:, 1:])
+        pairs[cols[None, 1:] >= n[:, None]] = _NONE
+        least = int(rate * (1 << 32))
+        base = np.array([xxhash.xxh64_intdigest(p.encode() + b"\0" + key) & _HALF for p in parts], np.uint64) if least else None
+        left, out_sym, out_n = np.arange(len(parts)), np.zeros(sym.shape, np.int64), n.copy()
+        half = np.uint64(_HALF)
+        while len(left):
+            at = pairs.argmax(1)
+            rows = np.arange(len(left))
+            open_ = pairs[rows, at] > _NONE
+            if not open_.all():
+                shut = left[~open_]
+                out_sym[shut], out_n[shut] = sym[~open_], n[~open_]
+                left, sym, cuts, made, pairs, n, at = left[open_], sym[open_], cuts[open_], made[open_], pairs[open_], n[open_], at[open_]
+                rows = np.arange(len(left))
+                if not len(left):
+                    break
+            go = np.ones(len(left), bool)
+            if least:
+                spot = (cuts[rows, at] * 40503 + cuts[rows, at + 1] * 69069 + cuts[rows, at + 2] * 30011).astype(np.uint64)
+                x = (base[left] ^ spot) * np.uint64(0x9E3779B1) & half
+                x = (x ^ x >> np.uint64(15)) * np.uint64(0x85EBCA6B) & half
+                go = x ^ x >> np.uint64(13) >= least
+                pairs[rows[~go], at[~go]] = _NONE
+            r, k = rows[go], at[go]
+            if not len(r):
+                continue
+            sym[r, k] = made[r, k]
+            shift = np.minimum(cols + (cols > k[:, None]), width - 1)
+            sym[r] = np.take_along_axis(sym[r], shift, 1)
+            ahead = np.arange(width + 1)
+            cuts[r] = np.take_along_axis(cuts[r], np.minimum(ahead + (ahead > k[:, None]), width), 1)
+            inner = np.minimum(cols[:-1] + (cols[:-1] > k[:, None]), width - 2)
+            made[r], pairs[r] = np.take_along_axis(made[r], inner, 1), np.take_along_axis(pairs[r], inner, 1)
+            n[r] -= 1
+            pairs[r, n[r] - 1] = _NONE  # beyond the last
+            for some, c in ((k + 1 < n[r], k), (k > 0, k - 1)):
+                i, j = r[some], c[some]
+                made[i, j], pairs[i, j] = self._merges(sym[i, j], sym[i, j + 1])
+        ids = out_sym.astype("<i4")
+        raw, size = ids.tobytes(), 4 * width
+        lacks = ((out_sym >= _LACKING) & (cols < out_n[:, None])).any(1)
+        out = {}
+        for i, (p, m, bad) in enumerate(zip(parts, out_n.tolist(), lacks.tolist())):
+            if bad:
+                out[p] = b"".join([x.to_bytes(4, "little") for y in out_sym[i, :m].tolist() for x in ([y] if y < _LACKING else [self.byte[b] for b in chr(y - _LACKING).encode()])])
+            else:
+                out[p] = raw[i * size : i * size + 4 * m]
+        return out
+
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut wherever nothing can merge."""
         joined = self.joined
@@ -113,25 +204,28 @@ class Model:
 
 
 class _Cache(dict):
-    """Ids by chunk, as bytes. A chunk that is new is put together from its parts, which many chunks share."""
+    """Ids by chunk, as bytes. Chunks that are new are put together from their parts, which many chunks share."""
 
     def __init__(self, model: Model, rate: float, key: bytes):
         self.of, self.parts = (model, rate, key), {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn(self, chunks: set[str]) -> None:
+        """Add what is new among these."""
         (model, rate, key), parts = self.of, self.parts
         if len(self) >= KEPT:
             self.clear()
         if len(parts) >= KEPT_PARTS:
             parts.clear()
-        out = b""
-        for part in model.parts(chunk):
-            got = parts.get(part)
-            if got is None:
-                parts[part] = got = b"".join([i.to_bytes(4, "little") for i in model.encode_chunk(part, rate, key)])
-            out += got
-        self[chunk] = out
-        return out
+        new = [c for c in chunks if c not in self]
+        cut = [model.parts(c) for c in new]
+        lacking = list({p for x in cut for p in x if p not in parts})
+        parts.update(zip(lacking, model.encode_parts(lacking, rate, key)))
+        for c, x in zip(new, cut):
+            self[c] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.learn({chunk})
+        return self[chunk]
 
 
 @lru_cache(1)
@@ -144,20 +238,49 @@ def _encoder(proto: bytes, rate: float, seed: str, variant: int) -> _Cache:
     return _Cache(_model(proto), rate, f"{seed}:{variant}".encode())
 
 
-def encode_text(proto: bytes, text: str, rate: float = 0.0, seed: str = "", variant: int = 0) -> bytes:
-    """Ids of a text as little-endian 32-bit numbers."""
+def _chunks(model: Model, text: str) -> list[str | None]:
+    """The text's chunks in order; None for the blank mark itself."""
     if not text:
-        return b""
-    model, held = _model(proto), _encoder(proto, rate, seed, variant)
-    if MARK not in text:
-        return b"".join(map(held.__getitem__, model.chunks(model.escaped(text))))
-    mark, out = np.array([model.byte[x] for x in MARK.encode()], "<i4").tobytes(), []
-    for i, part in enumerate(text.split(MARK)):  # the mark as such: its bytes
+        return []
+    out: list[str | None] = []
+    for i, part in enumerate(text.split(MARK)):
         if i:
-            out.append(mark)
-        part = model.escaped(part) if not i else part.replace(" ", MARK)
-        out += map(held.__getitem__, model.chunks(part))
-    return b"".join(out)
+            out.append(None)
+        out += model.chunks(part.replace(" ", MARK) if i else model.escaped(part))
+    return out
+
+
+def encode_texts(proto: bytes, texts: list[str], rate: float = 0.0, seed: str = "", variants: list[int] | None = None) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit numbers."""
+    model, out = _model(proto), []
+    mark = np.array([model.byte[x] for x in MARK.encode()], "<i4").tobytes()
+    variants = [0] * len(texts) if variants is None else variants
+    held, size = [], 0
+
+    def flush() -> None:
+        seen: dict[int, set] = {}
+        for v, chunks in held:
+            seen.setdefault(v, set()).update(chunks)
+        for v, chunks in seen.items():
+            chunks.discard(None)
+            _encoder(proto, rate, seed, v).learn(chunks)
+        for v, chunks in held:
+            get = _encoder(proto, rate, seed, v).__getitem__
+            out.append(b"".join(map(get, chunks)) if None not in chunks else b"".join([mark if c is None else get(c) for c in chunks]))
+        held.clear()
+
+    for text, v in zip(texts, variants, strict=True):
+        held.append((v, _chunks(model, text)))
+        size += len(text)
+        if size >= _AT_ONCE:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
+def encode_text(proto: bytes, text: str, rate: float = 0.0, seed: str = "", variant: int = 0) -> bytes:
+    return encode_texts(proto, [text], rate, seed, [variant])[0]
 
 
 @cache
@@ -174,7 +297,11 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into:
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array, variant: pa.Array) -> pa.Array:
-        return pa.array([encode_text(proto, t, rate, seed, v) for t, v in zip(texts.to_pylist(), variant.to_pylist(), strict=True)], pa.binary())
+        got = []
+        for k in range(0, len(texts), 500):
+            some = encode_texts(proto, texts[k : k + 500].to_pylist(), rate, seed, variant[k : k + 500].to_pylist())
+            got.append(pa.array(some, pa.binary()))
+        return pa.concat_arrays(got) if got else pa.array([], pa.binary())
 
     variant = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), F.lit(variants)).cast("int")
     return df.withColumn(into, run(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), variant))
@@ -187,7 +314,7 @@ def decode(df: DataFrame, pieces_col: str = "pieces", into: str = "decoded", mod
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         m = _model(proto)
-        return pa.array([None if x is None else m.decode(np.frombuffer(x, "<i4").tolist()).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        return pa.array((None if x is None else m.decode(np.frombuffer(x, "<i4").tolist()).decode("utf-8", "replace") for x in (y.as_py() for y in ids)), pa.string())
 
     return df.withColumn(into, run(F.col(pieces_col)))
 

@@ -42,6 +42,14 @@ def test_dropout_varies_and_decodes_without_loss():
     assert size(0.5) > size(0.1) > size(0.0)
 
 
+def test_parts_many_at_a_time_are_as_one_by_one():
+    model, r = sp.Model(sp.read_model()), random.Random(5)
+    parts = list({"".join(r.choice("▁abcdethinrsoé漢😀,.") for _ in range(r.randrange(1, 30))) for _ in range(800)} | {"x" * 24, "x" * 25, "a"})
+    for rate in (0.0, 0.1, 0.6):
+        want = [np.array(model.encode_chunk(p, rate, b"k"), "<i4").tobytes() for p in parts]
+        assert model.encode_parts(parts, rate, b"k") == want
+
+
 def test_share_of_skipped_merges_is_the_rate():
     # a chunk of two characters has one candidate
     model = sp.Model(sp.read_model())
