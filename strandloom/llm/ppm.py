@@ -91,6 +91,7 @@ def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``docs``: text. Returns key (of the longest contexts) and n."""
 
     def count(batches):
+        _held.clear()  # a trie that this worker scored by before
         held, rows = [], 0
 
         def flush():
@@ -103,7 +104,7 @@ def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             held.append((keys[first], np.diff(np.append(first, len(keys)))))
             rows += len(first)
-            if rows > 2_000_000:
+            if rows > 1_000_000:
                 yield from flush()
                 held, rows = [], 0
         if held:
@@ -346,6 +347,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """``docs``: text. token (bytes; empty: the end) and n."""
 
     def count(batches):
+        _held.clear()
         held: Counter = Counter()
 
         def flush():
@@ -355,7 +357,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             for text in batch["text"].cast(pa.binary()).to_pylist():
                 held.update(text.lower().split())
                 held[b""] += 1
-                if len(held) > 300_000:
+                if len(held) > 150_000:
                     yield from flush()
                     held.clear()
         yield from flush()
