@@ -2,7 +2,8 @@
 
 Language ID drops documents whose language cannot be told and sets ``lang`` to the language found; line dedup takes lines
 out of the texts; SimHash near-dedup keeps one document of each group; mixing repeats or leaves out documents so that the
-sources have equal weights; SentencePiece encodes each text with merge-dropout and decodes it again.
+sources have equal weights; SentencePiece encodes each text with merge-dropout, each copy by its own draws, and decodes it
+again.
 """
 
 from __future__ import annotations
@@ -31,12 +32,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
+def source_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture, with the number of each copy for the draws of the last stage."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS, "copy")
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    return source_copies(spark, docs, sf_dir).select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sp_dropout.decode(sp_dropout.encode(docs.select("doc_id", "text", "lang", "source")))
+    copy = "copy" if "copy" in docs.columns else None
+    out = sp_dropout.decode(sp_dropout.encode(docs.select("doc_id", "text", "lang", "source", *[copy] * bool(copy)), copy_col=copy))
     return out.select(
         "doc_id", "lang", "source",
         sp_dropout.n_pieces(F.col("pieces")).alias("n_pieces"),
@@ -50,7 +57,7 @@ STAGES = [
     ("language ID", language_id),
     ("line dedup", line_deduplication),
     ("SimHash near-dedup", near_dedup),
-    ("mixing", source_mixing),
+    ("mixing", source_copies),
     ("SentencePiece", sentencepiece),
 ]
 

@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 Encoding follows a merge-type (BPE) model: from single characters, the adjacent pair whose piece has the best score merges
-first, the leftmost of equals. With dropout each candidate merge is skipped when the keyed hash of (seed, variant, chunk,
-candidate) falls below the rate, so a text can be cut in many ways, yet the same seed always cuts it the same way, on any
-executor and after any loss. ``variants`` says how many ways one seed holds; a document's comes from the hash of its id.
-Rate 0 gives the plain encoding of the SentencePiece library.
+first, the leftmost of equals. With dropout each candidate merge is skipped when its keyed hash falls below the rate. The
+key is the seed, the document's id and copy number, and the candidate's places in the document, so every occurrence of a
+word is drawn by itself, yet the same seed always cuts a document the same way, on any executor and after any loss. Rows
+equal in id, copy and text are one document. Rate 0 gives the plain encoding of the SentencePiece library.
 
 Texts are encoded in chunks that no piece crosses (a run of blanks and a word, or marks), and chunks in parts between
-characters that are neighbours in no piece, so that nothing is lost by it; each worker keeps the chunks and parts it has
-seen, at most ``KEPT`` and ``KEPT_PARTS``.
+characters that are neighbours in no piece, so that nothing is lost by it. Only the plain encoding of chunks and parts is
+kept by a worker, at most ``KEPT`` and ``KEPT_PARTS``. A plain piece was made by merges that the piece alone decides; if an
+occurrence skips none of them it is cut plainly, and else its part is encoded anew with that occurrence's own draws.
 
 Lossless: what the model lacks, and the blank mark itself where the text has it, is written as byte pieces; decoding gives
 the text's bytes back. A null text counts as empty, and an empty text has no pieces. The model is read from its path by
@@ -18,7 +19,7 @@ the driver (it is small) and sent along; it is not trained or copied.
 from __future__ import annotations
 
 import re
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 from operator import add
 
 import numpy as np
@@ -27,10 +28,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, KEPT, KEPT_PARTS, MODEL = "▁", 50_000, 100_000, "/opt/tokenizers/piece_bpe_32k.model"
-_HALF, _NONE, _LACKING = (1 << 32) - 1, -1e30, 1 << 20
-#: Parts up to so long are encoded many at a time; texts of so many characters in all are looked through for them.
-_WIDE, _ROWS, _AT_ONCE = 24, 1 << 14, 2_000_000
+MARK, KEPT, KEPT_PARTS, MODEL = "▁", 200_000, 200_000, "/opt/tokenizers/piece_bpe_32k.model"
+_NONE, _LACKING = -1e30, 1 << 20
+#: Parts up to so long are encoded many at a time, so many in a block; texts are taken up to so many characters in all.
+_WIDE, _ROWS, _AT_ONCE = 24, 1 << 13, 500_000
+#: Multipliers of the 64-bit keyed hash: of a candidate's start, middle and end, and of the two rounds after.
+_ALL, _PLACES, _ROUNDS = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+
+
+def _places(a, b, c):
+    """The places' share of the hash, for arrays of unsigned numbers."""
+    return a * np.uint64(_PLACES[0]) + b * np.uint64(_PLACES[1]) + c * np.uint64(_PLACES[2])
+
+
+def _drawn(x: np.ndarray) -> np.ndarray:
+    """Upper 32 bits of the hash of key and places; changes ``x``."""
+    for m in _ROUNDS:
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(m)
+    return x >> np.uint64(32)
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, ``n`` numbers."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Model:
@@ -57,6 +78,7 @@ class Model:
             raise ValueError("the model has pieces across blanks")
         #: Neighbours inside pieces; between any other two characters no merge can ever be.
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.joined_keys = np.array(sorted(ord(a) << 21 | ord(b) for a, b in self.joined), np.int64)
         alone = {c for c in map(chr, range(33, 127)) if not c.isalnum()} | {"\n"}  # marks that join marks and blanks alone
         while drop := {c for c in alone for x in self.joined if c in x and not (alone | ({MARK} if x[1] == c else set())).issuperset(x)}:
             alone -= drop
@@ -73,8 +95,13 @@ class Model:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64)
         self.scores = np.full(sp.get_piece_size(), _NONE)
+        self.chars = np.ones(sp.get_piece_size(), np.int64)
+        for piece, i in self.ids.items():
+            self.scores[i], self.chars[i] = self.score[piece], len(piece)
+        self.alone = np.arange(_LACKING, _LACKING + 0x110000, dtype=np.int32)
         for piece, i in self.ids.items():
-            self.scores[i] = self.score[piece]
+            if len(piece) == 1:
+                self.alone[ord(piece)] = i
 
     def _symbol(self, piece: str) -> int | None:
         return self.ids.get(piece, _LACKING + ord(piece) if len(piece) == 1 else None)
@@ -86,108 +113,146 @@ class Model:
         made = np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
         return made, np.where(made >= 0, self.scores[made], _NONE)
 
+    @cached_property
+    def made_by(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece the first and the number of its merges among all merges, and of each merge its places' share."""
+        first, n, cuts = np.zeros(len(self.scores), np.int64), np.zeros(len(self.scores), np.int64), []
+        for piece, i in self.ids.items():
+            if len(piece) > 1:
+                merges: list[tuple[int, int, int]] = []
+                if len(self._cut(piece, 0, 0, 0, merges)) == 2:
+                    first[i], n[i] = len(cuts), len(merges)
+                    cuts += merges
+        return first, n, _places(*np.array(cuts, np.uint64).reshape(-1, 3).T)
+
     def encode_parts(self, parts: list[str], rate: float, key: bytes) -> list[bytes]:
-        """What :meth:`encode_chunk` gives for each part, as 32-bit numbers: a merge of every part at a time."""
-        wide = [p for p in parts if 1 < len(p) <= _WIDE]
-        done: dict[str, bytes] = {}
-        for s in range(0, len(wide), _ROWS):
-            done.update(self._encode_rows(wide[s : s + _ROWS], rate, key))
-        return [done[p] if p in done else b"".join([i.to_bytes(4, "little") for i in self.encode_chunk(p, rate, key)]) for p in parts]
-
-    def _encode_rows(self, parts: list[str], rate: float, key: bytes) -> dict[str, bytes]:
-        n = np.array([len(p) for p in parts])
-        codes = np.array(parts).view(np.uint32).reshape(len(parts), -1)
-        found, back = np.unique(codes, return_inverse=True)
-        sym = np.array([self._symbol(chr(c)) for c in found.tolist()], np.int64)[back].reshape(codes.shape)
-        width = sym.shape[1]
-        cols = np.arange(width)
-        cuts = np.broadcast_to(np.arange(width + 1), (len(parts), width + 1)).copy()
-        made, pairs = self._merges(sym[:, :-1], sym[:, 1:])
-        pairs[cols[None, 1:] >= n[:, None]] = _NONE
-        least = int(rate * (1 << 32))
-        base = np.array([xxhash.xxh64_intdigest(p.encode() + b"\0" + key) & _HALF for p in parts], np.uint64) if least else None
-        left, out_sym, out_n = np.arange(len(parts)), np.zeros(sym.shape, np.int64), n.copy()
-        half = np.uint64(_HALF)
-        while len(left):
-            at = pairs.argmax(1)
-            rows = np.arange(len(left))
-            open_ = pairs[rows, at] > _NONE
+        """What :meth:`encode_chunk` gives for each part, as 32-bit numbers: a merge of many parts at a time."""
+        return self.as_bytes(*self._of_parts(parts, int(rate * (1 << 32)), xxhash.xxh64_intdigest(key)))
+
+    def _of_parts(self, parts: list[str], least: int = 0, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(p) for p in parts], np.int64)
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        return self.symbols(codes, np.cumsum(n) - n, n, np.full(len(n), base, np.uint64), np.zeros(len(n), np.int64), least)
+
+    def symbols(self, codes: np.ndarray, start: np.ndarray, n: np.ndarray, base: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the parts, one after another, and the number of each part's. A part is ``n`` of the code points from
+        ``start`` and stands at ``at`` in the document of key ``base``."""
+        count, found = np.zeros(len(n), np.int64), []
+        for length in np.unique(n).tolist():
+            rows = np.flatnonzero(n == length)
+            if length > _WIDE:
+                for r in rows.tolist():
+                    part = codes[start[r] : start[r] + length].tobytes().decode("utf-32-le")
+                    cuts = self._cut(part, least, int(base[r]), int(at[r]))
+                    found.append((np.array([r]), np.array([self._symbol(part[a:b]) for a, b in zip(cuts, cuts[1:])], np.int32)))
+                    count[r] = len(cuts) - 1
+                continue
+            for s in range(0, len(rows), _ROWS):
+                some = rows[s : s + _ROWS]
+                got = self._merge_rows(self.alone[codes[start[some][:, None] + np.arange(length)]], base[some], at[some], least)
+                count[some] = (got >= 0).sum(1)
+                found.append((some, got[got >= 0]))
+        to, out = np.cumsum(count) - count, np.zeros(count.sum(), np.int32)
+        for some, got in found:
+            out[_runs(to[some], count[some])] = got
+        return out, count
+
+    def _merge_rows(self, sym: np.ndarray, base: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """Rows of single characters merged as far as they go; a symbol stays where it begins, -1 is within one."""
+        size, width = sym.shape
+        if width < 2:
+            return sym
+        made, score = self._merges(sym[:, :-1].astype(np.int64), sym[:, 1:].astype(np.int64))
+        made = made.astype(np.int32)
+        pairs = np.full((size, width), _NONE, np.float32)
+        pairs[:, :-1] = score
+        after, ahead = np.tile(np.arange(1, width + 2), (size, 1)), np.tile(np.arange(-1, width), (size, 1))  # begins of the neighbours
+        left, none = np.arange(size), np.float32(_NONE)
+        while True:
+            some = pairs if len(left) == size else pairs[left]
+            k = some.argmax(1)
+            open_ = some[np.arange(len(left)), k] > none
             if not open_.all():
-                shut = left[~open_]
-                out_sym[shut], out_n[shut] = sym[~open_], n[~open_]
-                left, sym, cuts, made, pairs, n, at = left[open_], sym[open_], cuts[open_], made[open_], pairs[open_], n[open_], at[open_]
-                rows = np.arange(len(left))
+                left, k = left[open_], k[open_]
                 if not len(left):
-                    break
-            go = np.ones(len(left), bool)
+                    return sym
+            r, b = left, after[left, k]
+            c = after[r, b]
             if least:
-                spot = (cuts[rows, at] * 40503 + cuts[rows, at + 1] * 69069 + cuts[rows, at + 2] * 30011).astype(np.uint64)
-                x = (base[left] ^ spot) * np.uint64(0x9E3779B1) & half
-                x = (x ^ x >> np.uint64(15)) * np.uint64(0x85EBCA6B) & half
-                go = x ^ x >> np.uint64(13) >= least
-                pairs[rows[~go], at[~go]] = _NONE
-            r, k = rows[go], at[go]
-            if not len(r):
-                continue
-            sym[r, k] = made[r, k]
-            shift = np.minimum(cols + (cols > k[:, None]), width - 1)
-            sym[r] = np.take_along_axis(sym[r], shift, 1)
-            ahead = np.arange(width + 1)
-            cuts[r] = np.take_along_axis(cuts[r], np.minimum(ahead + (ahead > k[:, None]), width), 1)
-            inner = np.minimum(cols[:-1] + (cols[:-1] > k[:, None]), width - 2)
-            made[r], pairs[r] = np.take_along_axis(made[r], inner, 1), np.take_along_axis(pairs[r], inner, 1)
-            n[r] -= 1
-            pairs[r, n[r] - 1] = _NONE  # beyond the last
-            for some, c in ((k + 1 < n[r], k), (k > 0, k - 1)):
-                i, j = r[some], c[some]
-                made[i, j], pairs[i, j] = self._merges(sym[i, j], sym[i, j + 1])
-        ids = out_sym.astype("<i4")
-        raw, size = ids.tobytes(), 4 * width
-        lacks = ((out_sym >= _LACKING) & (cols < out_n[:, None])).any(1)
-        out = {}
-        for i, (p, m, bad) in enumerate(zip(parts, out_n.tolist(), lacks.tolist())):
-            if bad:
-                out[p] = b"".join([x.to_bytes(4, "little") for y in out_sym[i, :m].tolist() for x in ([y] if y < _LACKING else [self.byte[b] for b in chr(y - _LACKING).encode()])])
-            else:
-                out[p] = raw[i * size : i * size + 4 * m]
-        return out
-
-    def parts(self, chunk: str) -> list[str]:
-        """The chunk cut wherever nothing can merge."""
-        joined = self.joined
-        cuts = [i for i, two in enumerate(map(add, chunk, chunk[1:]), 1) if two not in joined]
-        if not cuts:
-            return [chunk]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
-
-    def encode_chunk(self, chunk: str, rate: float, key: bytes) -> list[int]:
-        """Ids of a chunk; the blank mark stands for blanks."""
-        score, ids, n = self.score.get, self.ids, len(chunk)
-        if n == 1 and chunk in ids:
-            return [ids[chunk]]
-        base, least = None, int(rate * (1 << 32))
-        cuts = list(range(n + 1))
+                u = at[r]
+                go = _drawn(base[r] + _places(*((u + i).astype(np.uint64) for i in (k, b, c)))) >= least
+                shut = ~go
+                pairs[r[shut], k[shut]] = none
+                r, k, b, c = r[go], k[go], b[go], c[go]
+            sym[r, k], sym[r, b], pairs[r, b], pairs[r, k] = made[r, k], -1, none, none
+            after[r, k], ahead[r, c] = c, k
+            right, near = np.flatnonzero(c < width), np.flatnonzero(k)
+            i = np.concatenate([r[right], r[near]])
+            x = np.concatenate([k[right], ahead[r[near], k[near]]])
+            y = np.concatenate([c[right], k[near]])
+            made[i, x], pairs[i, x] = self._merges(sym[i, x].astype(np.int64), sym[i, y].astype(np.int64))
+
+    def as_bytes(self, sym: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """Ids of each run of ``count`` symbols as little-endian 32-bit numbers; what is no piece as its byte pieces."""
+        ends = np.cumsum(count)
+        lacks = np.flatnonzero(sym >= _LACKING)
+        if len(lacks):
+            codes, back = np.unique(sym[lacks] - _LACKING, return_inverse=True)
+            made = [[self.byte[x] for x in chr(c).encode()] for c in codes.tolist()]
+            size = np.array([len(x) for x in made])
+            flat = np.array([i for x in made for i in x], np.int32)
+            n = np.ones(len(sym), np.int64)
+            n[lacks] = size[back]
+            last = np.cumsum(n)
+            out = np.repeat(sym, n)
+            out[_runs((last - n)[lacks], size[back])] = flat[_runs((np.cumsum(size) - size)[back], size[back])]
+            sym, ends = out, np.concatenate([[0], last])[ends]
+        raw, ends = sym.astype("<i4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def parts(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The chunks cut wherever nothing can merge: all parts in order, and the number of each chunk's."""
+        text, n = "".join(chunks), np.array([len(c) for c in chunks], np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        key = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined_keys, key), len(self.joined_keys) - 1)
+        first, start = np.ones(len(codes), bool), np.cumsum(n) - n
+        first[1:] = self.joined_keys[at] != key
+        first[start] = True
+        cuts = np.flatnonzero(first).tolist()
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])], np.add.reduceat(first, start, dtype=np.int64)
+
+    def _cut(self, chunk: str, least: int, base: int, start: int, merges: list | None = None) -> list[int]:
+        """Where a chunk that stands at ``start`` in the document of key ``base`` is cut; ``merges`` takes those done."""
+        score, (ka, kb, kc), (m1, m2) = self.score.get, _PLACES, _ROUNDS
+        cuts = list(range(len(chunk) + 1))
         # the agenda: the score of each pair of neighbours, _NONE if they make no piece or were skipped
         pairs = [score(two, _NONE) for two in map(add, chunk, chunk[1:])]
         while pairs and (best := max(pairs)) > _NONE:
             at = pairs.index(best)
             if least:
-                if base is None:
-                    base = xxhash.xxh64_intdigest(chunk.encode() + b"\0" + key) & _HALF
-                x = (base ^ (cuts[at] * 40503 + cuts[at + 1] * 69069 + cuts[at + 2] * 30011)) * 0x9E3779B1 & _HALF
-                x = (x ^ x >> 15) * 0x85EBCA6B & _HALF
-                if x ^ x >> 13 < least:
+                x = base + (start + cuts[at]) * ka + (start + cuts[at + 1]) * kb + (start + cuts[at + 2]) * kc & _ALL
+                x = (x ^ x >> 33) * m1 & _ALL
+                x = (x ^ x >> 33) * m2 & _ALL
+                if x >> 32 < least:
                     pairs[at] = _NONE
                     continue
+            if merges is not None:
+                merges.append((cuts[at], cuts[at + 1], cuts[at + 2]))
             del cuts[at + 1], pairs[at]
             if at < len(pairs):
                 pairs[at] = score(chunk[cuts[at] : cuts[at + 2]], _NONE)
             if at:
                 pairs[at - 1] = score(chunk[cuts[at - 1] : cuts[at + 1]], _NONE)
+        return cuts
+
+    def encode_chunk(self, chunk: str, rate: float, key: bytes, start: int = 0) -> list[int]:
+        """Ids of a chunk that stands at ``start`` in the document of that key; the blank mark stands for blanks."""
+        cuts = self._cut(chunk, int(rate * (1 << 32)), xxhash.xxh64_intdigest(key), start)
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
             piece = chunk[a:b]
-            i = ids.get(piece)
+            i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
             else:
@@ -203,29 +268,45 @@ class Model:
         return out[1:] if out[:1] == b" " else out
 
 
-class _Cache(dict):
-    """Ids by chunk, as bytes. Chunks that are new are put together from their parts, which many chunks share."""
+class _Plain:
+    """Plain symbols of chunks by number. Chunks that are new are put together from their parts, which many chunks share."""
 
-    def __init__(self, model: Model, rate: float, key: bytes):
-        self.of, self.parts = (model, rate, key), {}
+    def __init__(self, model: Model):
+        self.model, self.parts = model, {}
+        self._clear()
 
-    def learn(self, chunks: set[str]) -> None:
+    def _clear(self) -> None:
+        #: None, the blank mark itself, is number 0: a symbol that is no piece, and a part of its own.
+        self.number: dict[str | None, int] = {None: 0}
+        self.sym, self.first = np.array([_LACKING + ord(MARK)], np.int32), np.ones(1, bool)
+        self.size, self.start = np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, chunks: set[str | None]) -> None:
         """Add what is new among these."""
-        (model, rate, key), parts = self.of, self.parts
-        if len(self) >= KEPT:
-            self.clear()
+        model, parts = self.model, self.parts
+        if len(self.number) >= KEPT:
+            self._clear()
         if len(parts) >= KEPT_PARTS:
             parts.clear()
-        new = [c for c in chunks if c not in self]
-        cut = [model.parts(c) for c in new]
-        lacking = list({p for x in cut for p in x if p not in parts})
-        parts.update(zip(lacking, model.encode_parts(lacking, rate, key)))
-        for c, x in zip(new, cut):
-            self[c] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.learn({chunk})
-        return self[chunk]
+        new = [c for c in chunks if c not in self.number]
+        if not new:
+            return
+        cut, each = model.parts(new)
+        lacking = [p for p in set(cut) if p not in parts]
+        if lacking:
+            flat, count = model._of_parts(lacking)
+            raw, ends = flat.tobytes(), (4 * np.cumsum(count)).tolist()
+            parts.update(zip(lacking, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        made = [parts[p] for p in cut]
+        count = np.array([len(x) for x in made], np.int64) // 4
+        first = np.zeros(count.sum(), bool)
+        first[np.cumsum(count) - count] = True
+        size = np.add.reduceat(count, np.cumsum(each) - each)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.start = np.concatenate([self.start, len(self.sym) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.sym = np.concatenate([self.sym, np.frombuffer(b"".join(made), np.int32)])
+        self.first = np.concatenate([self.first, first])
 
 
 @lru_cache(1)
@@ -233,9 +314,9 @@ def _model(proto: bytes) -> Model:
     return Model(proto)
 
 
-@lru_cache(8)
-def _encoder(proto: bytes, rate: float, seed: str, variant: int) -> _Cache:
-    return _Cache(_model(proto), rate, f"{seed}:{variant}".encode())
+@lru_cache(1)
+def _plain(proto: bytes) -> _Plain:
+    return _Plain(_model(proto))
 
 
 def _chunks(model: Model, text: str) -> list[str | None]:
@@ -250,32 +331,59 @@ def _chunks(model: Model, text: str) -> list[str | None]:
     return out
 
 
+def _encode(proto: bytes, texts: list[str], least: int, bases: list[int]) -> list[bytes]:
+    model, plain = _model(proto), _plain(proto)
+    chunks = [_chunks(model, t) for t in texts]
+    flat = [c for x in chunks for c in x]
+    if not flat:
+        return [b""] * len(texts)
+    plain.learn(set(flat))
+    number = np.array([*map(plain.number.__getitem__, flat)], np.int64)
+    size = plain.size[number]
+    which = _runs(plain.start[number], size)
+    sym, first = plain.sym[which], plain.first[which]
+    doc = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in chunks]), size)
+    if not least:
+        return model.as_bytes(sym, np.bincount(doc, minlength=len(texts)))
+    # where each symbol stands: among all code points, and in its document
+    piece = np.where(sym < _LACKING, sym, 0)
+    chars = np.where(sym < _LACKING, model.chars[piece], 1)
+    pos = np.cumsum(chars) - chars
+    before = np.cumsum([0, *[len(t) + 1 if t else 0 for t in texts]])
+    base = np.array(bases, np.uint64)
+    at = (pos - before[doc]).astype(np.uint64)
+    start, n, share = model.made_by
+    n_merges = np.where(sym < _LACKING, n[piece], 0)
+    x = share[_runs(start[piece], n_merges)] + np.repeat(base[doc] + _places(at, at, at), n_merges)
+    skipped = np.repeat(np.arange(len(sym)), n_merges)[_drawn(x) < least]
+    # parts with a skipped merge are encoded anew
+    part, begin = np.cumsum(first) - 1, np.flatnonzero(first)
+    count = np.diff(begin, append=len(sym))
+    length = np.diff(pos[begin], append=before[-1])
+    hit = np.zeros(len(begin), bool)
+    hit[part[skipped]] = True
+    anew = np.flatnonzero(hit)
+    codes = np.frombuffer("".join([MARK if c is None else c for c in flat]).encode("utf-32-le"), np.uint32)
+    b = begin[anew]
+    got, count[anew] = model.symbols(codes, pos[b], length[anew], base[doc[b]], at[b].astype(np.int64), least)
+    to, out, stay = np.cumsum(count) - count, np.empty(count.sum(), np.int32), ~hit[part]
+    out[(to[part] + np.arange(len(sym)) - begin[part])[stay]] = sym[stay]
+    out[_runs(to[anew], count[anew])] = got
+    ends = np.cumsum(np.bincount(doc[begin], minlength=len(texts)))
+    total = np.concatenate([[0], np.cumsum(count)])[ends]
+    return model.as_bytes(out, np.diff(total, prepend=0))
+
+
 def encode_texts(proto: bytes, texts: list[str], rate: float = 0.0, seed: str = "", variants: list[int] | None = None) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers."""
-    model, out = _model(proto), []
-    mark = np.array([model.byte[x] for x in MARK.encode()], "<i4").tobytes()
+    """Ids of each text as little-endian 32-bit numbers. ``variants``: the number that tells each document from others."""
+    out, held, size = [], 0, 0
     variants = [0] * len(texts) if variants is None else variants
-    held, size = [], 0
-
-    def flush() -> None:
-        seen: dict[int, set] = {}
-        for v, chunks in held:
-            seen.setdefault(v, set()).update(chunks)
-        for v, chunks in seen.items():
-            chunks.discard(None)
-            _encoder(proto, rate, seed, v).learn(chunks)
-        for v, chunks in held:
-            get = _encoder(proto, rate, seed, v).__getitem__
-            out.append(b"".join(map(get, chunks)) if None not in chunks else b"".join([mark if c is None else get(c) for c in chunks]))
-        held.clear()
-
-    for text, v in zip(texts, variants, strict=True):
-        held.append((v, _chunks(model, text)))
+    bases = [xxhash.xxh64_intdigest(f"{seed}:{v}".encode()) for v in variants]
+    for i, (text, _) in enumerate(zip(texts, bases, strict=True), 1):
         size += len(text)
-        if size >= _AT_ONCE:
-            flush()
-            size = 0
-    flush()
+        if size >= _AT_ONCE or i == len(texts):
+            out += _encode(proto, texts[held:i], int(rate * (1 << 32)), bases[held:i])
+            held, size = i, 0
     return out
 
 
@@ -289,10 +397,11 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces", rate: float = 0.1, seed: str = "0", variants: int = 4, model: str = MODEL) -> DataFrame:
-    """``df`` with the ids of the text's pieces, as little-endian 32-bit numbers."""
-    if not 0 <= rate < 1 or variants < 1:
-        raise ValueError("rate must be from 0 to below 1, and variants at least 1")
+def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces", rate: float = 0.1, seed: str = "0", copy_col: str | None = None, model: str = MODEL) -> DataFrame:
+    """``df`` with the ids of the text's pieces, as little-endian 32-bit numbers. ``copy_col`` numbers the rows that
+    repeat a document, so that each is drawn by itself."""
+    if not 0 <= rate < 1:
+        raise ValueError("rate must be from 0 to below 1")
     proto = read_model(model)
 
     @F.arrow_udf("binary")
@@ -303,7 +412,8 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into:
             got.append(pa.array(some, pa.binary()))
         return pa.concat_arrays(got) if got else pa.array([], pa.binary())
 
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), F.lit(variants)).cast("int")
+    copy = F.lit(0) if copy_col is None else F.col(f"`{copy_col}`").cast("int")
+    variant = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), copy)
     return df.withColumn(into, run(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), variant))
 
 

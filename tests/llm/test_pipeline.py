@@ -48,6 +48,16 @@ def test_mixing_stage(spark, docs):
     assert sorted(r.doc_id for r in out.collect()) == want
 
 
+@pytest.mark.skipif(not os.path.exists(sp_dropout.MODEL), reason="no tokenizer files here")
+def test_copies_of_a_document_are_cut_apart(spark, table):
+    docs = table(["one source has this short text about unbelievable anthropomorphism"] + ["words of another source " * 60] * 4).select(*cp.COLUMNS)
+    stages = dict(cp.STAGES)
+    mixed = stages["mixing"](spark, docs, "")
+    out = stages["SentencePiece"](spark, mixed, "").collect()
+    same = [r.pieces_sha256 for r in out if r.doc_id == 0]
+    assert len(out) == mixed.count() and len(same) > 1 and len(set(same)) > 1
+
+
 @pytest.mark.skipif(not os.path.exists(sp_dropout.MODEL), reason="no tokenizer files here")
 def test_last_stage_and_the_whole(spark, docs, tmp_path):
     rows = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -58,6 +58,28 @@ def test_share_of_skipped_merges_is_the_rate():
     assert 0.26 < skipped / 4000 < 0.34
 
 
+def test_every_occurrence_is_drawn_by_its_place():
+    model, r = sp.Model(sp.read_model()), random.Random(3)
+    texts = [*TEXTS, "unbelievable " * 300, " ".join("".join(r.choice("abcdethinrsoé漢😀,.=") for _ in range(r.randrange(1, 40))) for _ in range(300)), "ab" * 40]
+    for rate in (0.1, 0.5):
+        got = sp.encode_texts(sp.read_model(), texts, rate, "7", [*range(len(texts))])
+        # the whole text as one chunk, its candidates asked one by one
+        want = [model.encode_chunk(model.escaped(t), rate, f"7:{v}".encode()) if t else [] for v, t in enumerate(texts)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in got] == want
+    word = "unbelievable"
+    words = "".join("/" + "".join(model.raw[i].decode() for i in [j]) for j in ids(f"{word} " * 500, rate=0.3, seed="1")).split("/ ")
+    assert len(set(words)) > 8  # a seed held 4 at most, a document one
+
+
+def test_documents_and_copies_are_drawn_apart(table):
+    docs = table(["the same text of unbelievable anthropomorphism " * 5] * 40, ids=[i // 2 for i in range(40)]).drop("pieces", "copy").select("doc_id", "text")
+    twice = docs.distinct().withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    got = [bytes(r.pieces) for r in sp.encode(twice, copy_col="copy").collect()]
+    assert len(got) == 40 and len(set(got)) == 40
+    again = [bytes(r.pieces) for r in sp.encode(twice.repartition(7), copy_col="copy").collect()]
+    assert sorted(got) == sorted(again)
+
+
 def test_operator(table, odd):
     docs = table(odd).drop("pieces")
     got = sp.decode(sp.encode(docs)).select("doc_id", "decoded", F.coalesce("text", F.lit("")).alias("t"), sp.n_pieces(F.col("pieces")).alias("n")).collect()
