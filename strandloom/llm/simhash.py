@@ -52,14 +52,14 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2) for v in range(1, top)]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """id and fp (the 64 bits as a signed number) of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, hashed: bool = False) -> DataFrame:
+    """id and fp (the 64 bits as a signed number) of every row, and h (a hash of the text) if asked."""
 
     @F.arrow_udf("bigint")
     def make(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, width, seed) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
 
-    return documents(df, id_col, text_col).select("id", make("text").alias("fp"))
+    return documents(df, id_col, text_col).select("id", make("text").alias("fp"), *[F.xxhash64("text").alias("h")] * hashed)
 
 
 def local_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,28 +160,34 @@ def links(fps: DataFrame, radius: int = RADIUS, whole: int = WHOLE) -> DataFrame
     return plain.union(near.mapInArrow(stars, "a bigint, b bigint, mask int").select("a", "b"))
 
 
+def _rooted(least: DataFrame, radius: int) -> DataFrame:
+    """Distinct fp and what is least among its rows, with the fp that names its component."""
+    roots = components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    return least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """id, fp and component_id (the smallest id that links reach) of every row."""
     docs = save(fingerprints(df, id_col, text_col, width, seed))
-    least = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    named = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = save(named)
+    named = save(_rooted(docs.groupBy("fp").agg(F.min("id").alias("least")), radius))
     ids = save(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written: a root of many can then be split
     of = save(named.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component; of rows that repeat such an id, one. Rows with a
-    null id all stay."""
-    found = save(near_duplicates(df, id_col, text_col, **kw))
-    first = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n"))
-    first = save(first.select(F.col("id").alias("_keep"), "n"))
-    key = F.col(f"`{id_col}`")
-    once = df.join(first.where("n = 1").select("_keep"), key == F.col("_keep"), "left_semi")
-    lost = df.where(key.isNull())
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """One row of ``df`` for each component: that of the smallest id (null ids last), of rows that repeat it that of the
+    smallest hash of its text, of rows equal in both any one."""
+    key, text = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    docs = save(fingerprints(df, id_col, text_col, width, seed, hashed=True))
+    rows = docs.groupBy("fp", "id", "h").agg(F.count("*").alias("n"))
+    least = save(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "h", "n")).alias("least")))
+    first = save(_rooted(least, radius).groupBy("root").agg(F.min("least").alias("l")).select(F.col("l.id").alias("_keep"), F.col("l.h").alias("_h"), "l.n"))
+    match = key.eqNullSafe(F.col("_keep")) & (text == F.col("_h"))
+    once = df.join(first.where("n = 1"), match, "left_semi")
     if first.where("n > 1").isEmpty():
-        return once.unionByName(lost)
-    more = df.join(first.where("n > 1").select("_keep"), key == F.col("_keep"), "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col])).unionByName(lost)
+        return once
+    more = df.join(first.where("n > 1"), match, "left_semi")
+    hashed = more.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("_id"), text.alias("_t"))
+    one = hashed.dropDuplicates(["_id", "_t"])
+    return once.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in df.columns]))

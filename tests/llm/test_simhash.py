@@ -93,3 +93,13 @@ def test_one_of_each_group_stays(table, odd):
     assert ids == sorted(r.component_id for r in comp.collect()) and got.columns == docs.columns
     assert sh.keep_one(table([])).count() == 0
     assert np.bitwise_count(np.uint64(7)) == 3 and got.where(F.col("doc_id") == 6).count() == 1
+
+
+def test_one_row_of_each_component_with_repeated_and_null_ids(table):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    kept = lambda texts, ids: sorted((r.doc_id, r.text) for r in sh.keep_one(table(texts, ids).select("doc_id", "text")).collect())
+    assert kept([a, b], [1, 1]) == [(1, a), (1, b)]  # unrelated texts under one id
+    assert kept([a, a, b], [0, 1, 1]) == [(0, a), (1, b)]  # the copy under 1 goes
+    assert len(kept([None, ""], [5, 5])) == 1
+    lost = sh.keep_one(table([c, c, a, None, ""], [None, None, None, 5, None]).select("doc_id", "text")).collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in lost) == [(False, ""), (True, a), (True, c)]
