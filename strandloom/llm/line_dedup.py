@@ -13,8 +13,9 @@ line can be near, so only those emit variants; equal lines are merged before.
 
 Defined results: a line goes if an equal or near line stands earlier, whether that one stays or not. Lines without a word
 always stay. Lines under ``min_chars`` only go for equal ones (one edit of a short line makes another line). A null text
-counts as empty and stays so; a document may lose all its lines. Rows equal in id and text are one document; unequal texts
-under one id come in the order of their hashes; null ids come first.
+counts as empty and stays so; a document may lose all its lines. Of rows equal in id and text one (the least by a hash of
+the whole row) is the earliest, and the others lose all their lines; unequal texts under one id come in the order of their
+hashes; null ids come first.
 """
 
 from __future__ import annotations
@@ -80,6 +81,21 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
     return d.select("h", "at"), near.select("h", F.col("w").alias("witness"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``later``: whether an equal id and text stand in a row before. Only repeated rows are dealt out."""
+    same = rows.select("_i", "_h").groupBy("_i", "_h").count().where("count > 1")
+    same = save(same.select(F.col("_i").alias("_ri"), F.col("_h").alias("_rh")))
+    if same.isEmpty():
+        return rows.withColumn("later", F.lit(False))
+    match = F.col("_i").eqNullSafe(F.col("_ri")) & (F.col("_h") == F.col("_rh"))
+    # written, so that the numbers are the same whenever they are read
+    order = F.struct(F.xxhash64("row"), F.monotonically_increasing_id()).alias("_o")
+    repeated = save(rows.join(same, match, "left_semi").select("row", "_i", "_h", order))
+    first = repeated.groupBy("_i", "_h").agg(F.min("_o").alias("_f")).select("_f")
+    late = repeated.join(first, F.col("_o") == F.col("_f"), "left").select("row", "_i", "_h", F.col("_f").isNull().alias("later"))
+    return rows.join(same, match, "left_anti").withColumn("later", F.lit(False)).unionByName(late)
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``df``, the text without the lines that go, and struct ``lines`` (n: lines with a word, removed)."""
     docs = documents(df, id_col, text_col)
@@ -88,7 +104,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     stay = stay.select(F.col("doc.id").alias("_id"), F.col("doc.t").alias("_t"), "_stay")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text).alias("_h"))
-    both = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
+    rows = _numbered(rows)
+    stay = stay.withColumn("_later", F.lit(False))
+    both = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")) & (F.col("later") == F.col("_later")), "left")
     split = both.withColumn("_l", F.split(F.coalesce(F.col("row").getField(text_col), F.lit("")), "\n"))
     blank = F.array_compact(F.transform("_l", lambda x, i: F.when(_blank(x), i)))
     split = split.withColumn("_b", blank).withColumn("_s", F.coalesce("_stay", F.array().cast("array<int>")))

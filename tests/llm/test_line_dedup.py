@@ -64,3 +64,11 @@ def test_repeated_rows_null_ids_and_none(table):
     rows = ld.dedup(table(["a line of some length", "a line of some length", "b", "a line of some lengthy"], [3, 3, 9, None])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, "a line of some lengthy"), (3, ""), (3, ""), (9, "b")]
     assert ld.dedup(table([])).count() == 0
+
+
+def test_of_equal_rows_the_first_keeps_its_lines(table):
+    a, b = "a line of some length\n\nand one more line here", "quite another text of a line"
+    rows = ld.dedup(table([a, a, b, b, b, "short", None, None], [3, 3, None, None, None, 4, 5, 5]).select("doc_id", "text")).collect()
+    got = sorted((r.doc_id or 0, r.text is None, r.text or "", r.lines.n, r.lines.removed) for r in rows)
+    gone = [(0, False, "", 1, 1)] * 2 + [(0, False, b, 1, 0), (3, False, "", 2, 2), (3, False, a, 2, 0), (4, False, "short", 1, 0)]
+    assert got == sorted([*gone, (5, True, "", 0, 0), (5, True, "", 0, 0)])
