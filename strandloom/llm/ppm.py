@@ -13,7 +13,7 @@ shorter contexts follow from the longest. Scoring: the trie goes to the tasks as
 can fall back to are in one part but for the two shortest, which every part has. A trie of one part is read once with the
 documents; one of n parts takes n passes, each scoring the positions that are its own, and the sums are added by document.
 
-Adaptive scores learn from the document itself alone, from an empty trie.
+Adaptive scores (:func:`score_adaptive`) learn from the document itself alone, from an empty trie.
 
 The unigram base: tokens are the words of the lower-cased (A-Z) text and one end. Words of the largest counts (at most
 ``FREQUENT``) are sent to the tasks; the others are shuffled to their counts.
@@ -262,6 +262,16 @@ def adaptive(texts: list[bytes], order: int = ORDER) -> list[float]:
     return out
 
 
+def score_adaptive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """id and adaptive score of every row of ``df``; a worker holds the contexts of one text at a time."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(adaptive(texts.cast(pa.binary()).to_pylist(), order), pa.float64())
+
+    return documents(df, id_col, text_col).select("id", run("text").alias("score"))
+
+
 def held_out(id_col: Column, mod: int = 7, rest: int = 2) -> Column:
     """Whether the CRC-32 of the id as text leaves ``rest``; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod == rest

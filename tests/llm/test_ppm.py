@@ -108,3 +108,10 @@ def test_none_to_score_or_to_learn_from(table):
     rows = ppm.evaluate(docs, docs.limit(0)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score) for r in rows] == [(0, 0, 0.0)] * 2
     assert ppm.evaluate(docs.limit(0), docs).count() == 0
+
+
+def test_adaptive_scores_of_a_table(table):
+    texts = ["abababababab", "é 漢字", "", None]
+    got = {r.id: r.score for r in ppm.score_adaptive(table(texts)).collect()}
+    want = ppm.adaptive([(t or "").encode() for t in texts])
+    assert got == dict(enumerate(want)) and ppm.score_adaptive(table([])).count() == 0
