@@ -67,9 +67,10 @@ def within(c: Column, x: range | tuple[int | None, int | None]) -> Column:
 
 
 def pinned(c: Column) -> Column:
-    """The same, but told to be non-deterministic: filters are not pushed below it. Each step names its inputs several
-    times, so a filter that is pushed through a chain of them would grow with the power of its length."""
-    return F.when(F.rand(0) < 2, c)
+    """The same, but non-deterministic to the optimiser, in a way that it cannot fold: filters are not pushed below it and
+    steps are not merged. Each step names its inputs several times, so an expression that is pushed through a chain of them
+    would grow with the power of its length."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 @dataclass(frozen=True)
