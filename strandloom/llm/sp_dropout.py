@@ -25,6 +25,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -411,7 +412,7 @@ def decode_array(proto: bytes, pieces: pa.Array) -> pa.Array:
     model, got = _model(proto), []
     for s in range(0, len(pieces), ROWS):
         some = pieces[s : s + ROWS]
-        n = np.array(pa.compute.fill_null(pa.compute.binary_length(some), 0), np.int64) // 4
+        n = np.array(pc.fill_null(pc.binary_length(some), 0), np.int64) // 4
         ids = np.frombuffer(b"".join(x for x in some.to_pylist() if x), "<i4")
         data, sizes = model.decode(ids, n)
         rows = _rows(pa.binary(), data, sizes, np.array(some.is_null()))
