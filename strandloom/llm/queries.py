@@ -24,8 +24,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprints.digest(F.col("sketch")).alias("fingerprint"),
-        fingerprints.digest(F.col("e")).alias("edited_fingerprint"),
+        fingerprints.encoded(F.col("sketch")).alias("fingerprint"),
+        fingerprints.encoded(F.col("e")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("sketch"), F.col("e")).alias("near_edited"),
         fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         fingerprints.containment(F.col("sketch"), F.col("e")).alias("within_edited"),

@@ -21,15 +21,20 @@ def plain(text, width=5):
     return {xx(r) for r in runs}
 
 
+def low(hashes):
+    return {x for x in hashes if x < (1 << 64) // fp.DIVISOR}
+
+
+def retained(hashes):
+    return low(hashes) or ({min(hashes)} if hashes else set())
+
+
 def sketch(text):
-    h = plain(text)
-    return (1, h) if len(h) < fp.WHOLE_BELOW else (fp.DIVISOR, {x for x in h if x < (1 << 64) // fp.DIVISOR})
+    return retained(plain(text))
 
 
 def likeness(a, b):
-    (s, x), (t, y) = a, b
-    low = lambda z: {v for v in z if v < (1 << 64) // fp.DIVISOR}
-    x, y = (low(x) if s < t else x), (low(y) if t < s else y)
+    x, y = low(a), low(b)
     return len(x & y) / len(x | y) if x | y else float(a == b)
 
 
@@ -38,9 +43,8 @@ def test_sketches_hold_what_lies_below_the_threshold(table, odd):
     texts = odd + [" ".join(r.choice("abcdefghij") * 3 for _ in range(400)) for _ in range(3)]
     rows = {x.id: x for x in fp.fingerprint(table(texts)).collect()}
     for i, t in enumerate(texts):
-        want = sketch(t)
-        assert rows[i].sketch.scale == want[0] and {h % (1 << 64) for h in rows[i].sketch.hashes} == want[1]
-        assert rows[i].sketch.hashes == sorted(rows[i].sketch.hashes)
+        assert {h % (1 << 64) for h in rows[i].sketch} == sketch(t) and rows[i].sketch == sorted(rows[i].sketch)
+        assert (len(rows[i].sketch) == 0) == (not (t or "").split())
 
 
 def test_next_rows_and_likeness(table, odd):
@@ -63,10 +67,38 @@ def test_one_row_none_and_null_ids(table):
     assert sorted((r.id is None, r.next_text) for r in got)[-1][1] in "bc" and len(got) == 3
 
 
-def test_merging_and_containment(table):
+def test_ids_of_any_type_and_repeated_ids(table):
+    docs = table([f"text {i}" for i in range(60)]).withColumn("key", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    order = sorted(range(60), key=lambda i: f"k{i}")
+    for ranges in (1, 7):
+        got = fp.with_next(fp.fingerprint(docs, "key"), "id", ["text"], ranges)
+        assert {r.id: r.next_text for r in got.collect()} == {f"k{i}": f"text {order[(k + 1) % 60]}" for k, i in enumerate(order)}
+        same = fp.with_next(fp.fingerprint(table([f"t{i}" for i in range(50)], [5] * 50)), "id", ["text"], ranges).collect()
+        after = {r.text: r.next_text for r in same}
+        at, seen = "t0", set()
+        while at not in seen:  # one circle through all rows
+            seen.add(at)
+            at = after[at]
+        assert len(seen) == 50
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    r = random.Random(4)
+    sets = [[r.getrandbits(64) for _ in range(n)] for n in (0, 1, 1, 2, 3, 5, 9, 60, 300, 4000)]
+    signed = lambda xs: [x - (1 << 64) if x >> 63 else x for x in xs]
+    rows = [(i, j, signed(a), signed(b)) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, j int, a array<bigint>, b array<bigint>")
+    x, y = fp.retained(F.col("a")), fp.retained(F.col("b"))
+    text = fp.encoded(x)
+    for row in df.select("i", "j", fp.merge(x, y).alias("m"), fp.likeness(x, y).alias("l"), x.alias("x"), fp.decoded(text).alias("d"), text.alias("t")).collect():
+        a, b = set(sets[row.i]), set(sets[row.j])
+        assert {h % (1 << 64) for h in row.m} == retained(a | b)
+        assert abs(row.l - likeness(retained(a), retained(b))) < 1e-12
+        assert row.d == row.x and len(row.t) == 16 * len(row.x)
+
+
+def test_containment(table):
     a, b = " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(400, 3000))
-    df = fp.fingerprint(table([a, b, a + " " + b]))
-    x, y, z = (df.where(f"id = {i}").select(F.col("sketch").alias(f"s{i}")) for i in range(3))
-    row = x.join(y).join(z).select(fp.merge(F.col("s0"), F.col("s1")).alias("m"), "s2", fp.containment(F.col("s0"), F.col("s1")).alias("c")).first()
-    assert len(set(row.s2.hashes) - set(row.m.hashes)) <= 4  # the shingles across the seam
-    assert 0.1 < row.c < 0.3
+    df = fp.fingerprint(table([a, b]))
+    x, y = (df.where(f"id = {i}").select(F.col("sketch").alias(f"s{i}")) for i in range(2))
+    assert 0.1 < x.join(y).select(fp.containment(F.col("s0"), F.col("s1")).alias("c")).first().c < 0.3
