@@ -7,7 +7,7 @@ word is drawn by itself, yet the same seed always cuts a document the same way,
 equal in id, copy and text are one document. Rate 0 gives the plain encoding of the SentencePiece library.
 
 Texts are cut into parts between characters that are neighbours in no piece, so no merge is lost by it. A worker keeps the
-plain encoding of the parts it met, at most ``KEPT``, and drops it with its task. A plain piece was made by merges that the
+plain encoding of the parts it met, at most ``KEPT`` of at most ``LONG`` characters, some 30 MB. A plain piece was made by merges that the
 piece alone decides; if an occurrence skips none of them it is cut plainly, and else its part goes through the agenda with
 that occurrence's own draws: many parts a step, or, for parts beyond ``LONG`` characters, one by one from a heap.
 
@@ -20,7 +20,6 @@ path by the driver (it is small) and sent along; it is not trained or copied.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -30,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK, KEPT, MODEL = "▁", 300_000, "/opt/tokenizers/piece_bpe_32k.model"
+MARK, KEPT, MODEL = "▁", 120_000, "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts beyond so many characters are cut one by one and never kept; texts are taken up to so many characters, and rows, at a time.
-LONG, AT_ONCE, ROWS = 48, 1 << 19, 500
+LONG, AT_ONCE, ROWS = 48, 1 << 18, 250
 #: A symbol is a piece's id, or this + code point for a character that is no piece. A text's own blank mark gets a code
 #: point that no text has.
 _LACKING, _OWN_MARK, _NEVER = 1 << 20, 0x110000, np.int64(1 << 62)
@@ -134,7 +133,7 @@ class Model:
                 a, b = self.symbol(piece[:k]), self.symbol(piece[k:])
                 if a is not None and b is not None:
                     pairs[a << 21 | b] = i
-        self.pairs = _Pairs(pairs)
+        self.pairs, self.made = _Pairs(pairs), pairs
         scores = sorted({-s for s in score.values()})
         place = {-s: k for k, s in enumerate(scores)}
         self.rank, self.chars = np.full(len(raw), _NEVER >> 32, np.int64), np.ones(len(raw), np.int64)
@@ -145,7 +144,6 @@ class Model:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.alone[ord(piece)] = i
-        self._pairs = pairs
 
     def symbol(self, piece: str) -> int | None:
         return self.ids.get(piece, _LACKING + ord(piece) if len(piece) == 1 else None)
@@ -233,7 +231,7 @@ class Model:
 
     def _one(self, sym: np.ndarray, least: int, base: int, at: int) -> None:
         """The same for the symbols of one part, in place, from a heap: the time of n log n."""
-        (ka, kb, kc), (m1, m2), pairs, rank = _PLACES, _ROUNDS, self._pairs.get, self.rank
+        (ka, kb, kc), (m1, m2), pairs, rank = _PLACES, _ROUNDS, self.made.get, self.rank
         own, n = sym.tolist(), len(sym)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int, int]] = []
@@ -340,6 +338,11 @@ def _model(proto: bytes) -> Model:
     return Model(proto)
 
 
+@lru_cache(1)
+def _plain(proto: bytes) -> _Plain:
+    return _Plain(_model(proto))
+
+
 def _encode(model: Model, plain: _Plain, texts: list[str], least: int, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, one after another, and the number of each text's."""
     codes, chars = model.codes(texts)
@@ -436,11 +439,9 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into:
         raise ValueError("rate must be from 0 to below 1")
     proto = read_model(model)
 
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        plain = _Plain(_model(proto))  # goes with the task
-        for texts, variants in batches:
-            yield encode_array(proto, texts, rate, seed, variants, plain)
+    @F.arrow_udf("binary")  # by batches, so that decoding runs in the same worker
+    def run(texts: pa.Array, variants: pa.Array) -> pa.Array:
+        return encode_array(proto, texts, rate, seed, variants, _plain(proto))
 
     copy = F.lit(0) if copy_col is None else F.col(f"`{copy_col}`").cast("int")
     variant = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), copy)
@@ -452,9 +453,8 @@ def decode(df: DataFrame, pieces_col: str = "pieces", into: str = "decoded", mod
     proto = read_model(model)
 
     @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids in batches:
-            yield decode_array(proto, ids)
+    def run(ids: pa.Array) -> pa.Array:
+        return decode_array(proto, ids)
 
     return df.withColumn(into, run(F.col(f"`{pieces_col}`")))
 
