@@ -2,16 +2,16 @@
 
 The model is a trie of byte contexts: for each context of up to ``order`` bytes, how often each byte (or the text's end)
 followed it in the training documents. A byte's probability is its share in the longest context that was seen; a byte that
-is new there costs an escape (method C: as many chances as the context has distinct followers) and is looked for one byte
-shorter, where the followers of the longer context, already ruled out, are left out of the counts (symbol exclusion). What
-no context has is spread evenly over the rest of the 257 symbols. A text's score is the log10 probability of its bytes and
-its end, so the probabilities of all texts add up to 1.
+is new there costs an escape and is looked for one byte shorter, where the followers of the longer context, already ruled
+out, are left out of the counts (symbol exclusion). Escapes are those of method D: of 2n chances, a follower seen c times
+has 2c - 1 and an escape one for each follower. Below the longest contexts a follower counts once for each context one
+longer that it follows (update exclusion). What no context has is spread evenly over the rest of the 257 symbols. A text's
+score is the log10 probability of its bytes and its end, so the probabilities of all texts add up to 1.
 
-Counting: each task counts the longest contexts of its documents and Spark adds them up, over all training documents; the
-shorter contexts follow from the longest. Scoring: the trie goes to the tasks as sorted arrays in parts of at most
-``PART`` entries, cut by the hash of the last byte of the context and the byte before it, so that all contexts a position
-can fall back to are in one part but for the two shortest, which every part has. A trie of one part is read once with the
-documents; one of n parts takes n passes, each scoring the positions that are its own, and the sums are added by document.
+The trie is a table of every order's entries, never in one place. Documents are dealt into chunks of about ``CHUNK_BYTES``;
+each chunk asks for its distinct (context, symbol) keys, which are joined with the probabilities of all keys, and what was
+asked for meets the chunk's texts again in one task. Keys that training has not seen go from order to order, one join each,
+those that were found dropping out. Nothing of the model is sent to the driver or held whole by a task.
 
 Adaptive scores (:func:`score_adaptive`) learn from the document itself alone, from an empty trie.
 
@@ -19,7 +19,8 @@ The unigram base: tokens are the words of the lower-cased (A-Z) text and one end
 ``FREQUENT``) are sent to the tasks; the others are shuffled to their counts.
 
 Defined results: a null text counts as empty; an empty text is scored for its end. Without training documents every symbol
-has probability 1/257 and every token 1/(N + V + 1) = 1. Repeated ids are scored row by row.
+has probability 1/257 and every token 1/(N + V + 1) = 1. Repeated ids are scored row by row. A text is held whole by one
+task, however long.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, documents, save
+from .common import discard, documents, save
 
 ORDER, END, BEFORE, SYMBOLS, BITS = 5, 256, 257, 257, 9
-PART, FREQUENT, CHUNK, SPREAD = 12_000_000, 200_000, 1 << 20, 40503
-#: Documents that a worker is given at a time; a worker holds a part of the trie besides.
-ROWS = 500
+#: A chunk is scored so many bytes at a time.
+FREQUENT, CHUNK, CHUNK_BYTES = 200_000, 1 << 19, 8 << 20
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,32 +89,96 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``docs``: text. Returns key (of the longest contexts) and n."""
+def count_contexts(docs: DataFrame, order: int = ORDER, by: str | None = None) -> DataFrame:
+    """``docs``: text. Returns key (of the longest contexts) and n. ``by``: a column of whole numbers that lie together;
+    then each of its numbers' distinct keys instead, as rows of it and key."""
 
     def count(batches):
-        _held.clear()  # a trie that this worker scored by before
-        held, rows = [], 0
+        held, rows, now = [], 0, 0
 
         def flush():
             keys, n = merged(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
             for s in range(0, len(keys), 100_000):
-                yield pa.record_batch({"key": keys[s : s + 100_000].view(np.int64), "n": n[s : s + 100_000]})
+                k, m = keys[s : s + 100_000].view(np.int64), n[s : s + 100_000]
+                yield pa.record_batch({"key": k, "n": m} if by is None else {by: np.full(len(k), now), "key": k})
 
-        for (texts,) in chunks(batches, ("text",)):
+        def texts_of():
+            if by is None:
+                for (texts,) in chunks(batches, ("text",)):
+                    yield 0, texts
+                return
+            for texts, own in chunks(batches, ("text", by)):
+                own = np.array(own)
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield int(own[a]), texts[a:b]
+
+        for mine, texts in texts_of():
+            if held and (rows > 1_000_000 or mine != now):
+                yield from flush()
+                held, rows = [], 0
+            now = mine
             keys = np.sort(contexts(texts, order)[0])
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             held.append((keys[first], np.diff(np.append(first, len(keys)))))
             rows += len(first)
-            if rows > 1_000_000:
-                yield from flush()
-                held, rows = [], 0
         if held:
             yield from flush()
 
+    if by is not None:
+        return docs.select("text", F.col(by).cast("bigint").alias(by)).mapInArrow(count, f"{by} bigint, key bigint")
     return docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _shorter(key: Column, k: int) -> Column:
+    """The key's symbol with the last k symbols before it."""
+    return key.bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
+
+
+def _context(key: Column) -> Column:
+    return F.shiftright(key, BITS)
+
+
+def probabilities(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """``counts``: key and n of the longest contexts; ``asked``: distinct keys that are not among them. key and log (log10 of
+    the probability of its symbol in its context) of all of them."""
+    n, key = F.col("n"), F.col("key")
+    whole = F.sum("n").over(Window.partitionBy(_context(key)))  # 257 rows at most
+    done = [counts.select("key", F.log10((2 * n - 1) / (2 * whole)).alias("log"))]
+    entries = {order: counts}
+    for k in range(order - 1, -1, -1):
+        entries[k] = save(entries[k + 1].groupBy(_shorter(key, k).alias("key")).agg(F.count("*").alias("n")))
+    left = asked.select("key", F.lit(0.0).alias("log"), F.lit(0).cast("bigint").alias("ruled"), F.lit(0).cast("bigint").alias("gone"))
+    for k in range(order, -1, -1):
+        left = left.withColumn("own", _shorter(key, k)).withColumn("ctx", _context(F.col("own")))
+        # the asked contexts: their counts in all, their followers, and the counts of these one byte shorter
+        mine = entries[k].withColumn("ctx", _context(key)).join(left.select("ctx").distinct(), "ctx", "left_semi")
+        if k:
+            lower = entries[k - 1].select(F.col("key").alias("short"), F.col("n").alias("below"))
+            mine = mine.withColumn("short", _shorter(key, k - 1)).join(lower, "short")
+        else:
+            mine = mine.withColumn("below", F.lit(0))
+        info = mine.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("below").alias("next"))
+        met = left.join(F.broadcast(info) if k < 2 else info, "ctx", "left")  # 258 contexts of one symbol at most
+        if k < order:
+            met = met.join(entries[k].select(key.alias("own"), "n"), "own", "left")
+        else:
+            met = met.withColumn("n", F.lit(None).cast("bigint"))
+        rest, new = F.col("total") - F.col("ruled"), F.col("distinct") - F.col("gone")
+        chance = F.when(n.isNotNull(), 2 * n - 1).otherwise(new)
+        # nothing is left where all followers were ruled out: no choice, no cost
+        log = F.col("log") + F.when(rest > 0, F.log10(chance / (2 * rest))).otherwise(0.0)
+        met = save(met.select("key", log.alias("log"), n.isNotNull().alias("found"), F.coalesce("next", F.lit(0)).alias("ruled"), F.coalesce("distinct", F.lit(0)).alias("gone")))
+        done.append(met.where("found").select("key", "log"))
+        left = met.where("not found").drop("found")
+    none = float(np.log10(SYMBOLS - entries[0].count()))  # 257 entries at most
+    done.append(left.select("key", F.col("log") - F.lit(none)))
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
+
+
 class _Table:
     """Look-up of 64-bit keys: slots by a multiplicative hash, the next free one on a clash."""
 
@@ -148,92 +214,6 @@ class _Table:
         return out
 
 
-class Trie:
-    """Counts of contexts of all orders up to ``order``, with what an escape leaves of each shorter one."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, low: list | None = None):
-        """``keys``: of the longest contexts (any order, distinct). ``low``: (keys, counts) of orders 0 and 1 over all
-        parts, where these keys are one part of several."""
-        self.order, self.levels = order, []
-        mask = lambda k: np.uint64((1 << BITS * (k + 1)) - 1)
-        for k in range(order + 1):
-            own = low[k] if low is not None and k < 2 else merged(keys & mask(k), counts)
-            self.levels.append(self._level(*own))
-        for k in range(1, order + 1):
-            lv, up = self.levels[k], self.levels[k - 1]
-            shorter = np.searchsorted(up["keys"], lv["keys"] & mask(k - 1))
-            ruled = np.add.reduceat(up["counts"][shorter], lv["first"]) if len(lv["first"]) else np.empty(0, np.int64)
-            node = np.searchsorted(up["nodes"], lv["nodes"] & (mask(k - 1) >> np.uint64(BITS)))
-            # of the context one shorter, without the followers of this one: chances in all, and those of an escape
-            lv["rest"] = up["total"][node] - ruled + up["distinct"][node] - lv["distinct"]
-            lv["rest_escape"] = up["distinct"][node] - lv["distinct"]
-        top = self.levels[order]
-        with np.errstate(divide="ignore"):
-            whole = np.repeat(top["total"] + top["distinct"], top["distinct"])
-            self.log = np.log10(top["counts"] / whole).astype(np.float64)
-        self.table = _Table(top["keys"])
-        top["keys"] = top["counts"] = None  # the table has them
-
-    @staticmethod
-    def _level(keys: np.ndarray, counts: np.ndarray) -> dict:
-        ctx = keys >> np.uint64(BITS)
-        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(keys) else np.empty(0, np.int64)
-        total = np.add.reduceat(counts, first) if len(first) else np.empty(0, np.int64)
-        return {"keys": keys, "counts": counts, "nodes": ctx[first], "first": first, "total": total, "distinct": np.diff(np.append(first, len(keys)))}
-
-    def logs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol in its context."""
-        at = self.table.find(keys)
-        hit = at >= 0
-        out = np.where(hit, self.log[np.maximum(at, 0)], 0.0) if len(self.log) else np.zeros(len(keys))
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            new, back = np.unique(keys[miss], return_inverse=True)
-            out[miss] = self._escapes(new)[back]
-        return out
-
-    def _escapes(self, keys: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
-        above = np.full(len(keys), -1)  # the node escaped from, of the order above
-        for k in range(self.order, -1, -1):
-            lv, own = self.levels[k], keys[left] & np.uint64((1 << BITS * (k + 1)) - 1)
-            if not len(lv["nodes"]):
-                continue
-            node = _place(lv["nodes"], own >> np.uint64(BITS))
-            entry = _place(lv["keys"], own) if k < self.order else np.full(len(left), -1)  # or it were in the table
-            ab = above[left]
-            up = self.levels[min(k + 1, self.order)]
-            known = node >= 0
-            n0 = np.maximum(node, 0)
-            fresh_all, fresh_esc = lv["total"][n0] + lv["distinct"][n0], lv["distinct"][n0]
-            if k < self.order and len(up["nodes"]):
-                a0 = np.maximum(ab, 0)
-                whole = np.where(ab >= 0, up["rest"][a0], fresh_all)
-                esc = np.where(ab >= 0, up["rest_escape"][a0], fresh_esc)
-            else:
-                whole, esc = fresh_all, fresh_esc
-            found = entry >= 0
-            chance = np.where(found, lv["counts"][np.maximum(entry, 0)], esc) if k < self.order else esc
-            costs = known & (whole > 0)  # nothing is left where all followers were ruled out: no choice, no cost
-            out[left[costs]] += np.log10(chance[costs] / whole[costs])
-            above[left] = np.where(known, node, -1)
-            left = left[~found]
-            if not len(left):
-                return out
-        base = self.levels[0]
-        out[left] -= np.log10(SYMBOLS - (base["distinct"][0] if len(base["distinct"]) else 0))
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        keys, starts = contexts(texts, self.order)
-        return np.add.reduceat(self.logs(keys), starts[:-1])
-
-
-def _place(among: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-    return np.where(among[at] == keys, at, -1)
-
-
 def adaptive(texts: list[bytes], order: int = ORDER) -> list[float]:
     """log10 probability of each text by a trie that starts empty and learns each symbol after it was scored."""
     out = []
@@ -243,19 +223,19 @@ def adaptive(texts: list[bytes], order: int = ORDER) -> list[float]:
         for s in [*text, END]:
             ruled: set[int] = set()
             ctxs = [tuple(past[len(past) - k :]) for k in range(min(order, len(past)), -1, -1)]
-            for c in ctxs:
+            for at, c in enumerate(ctxs):
                 own = {x: n for x, n in seen.get(c, {}).items() if x not in ruled}
                 if not own:
                     continue
-                whole = sum(own.values()) + len(own)
+                whole = 2 * sum(own.values())
                 if s in own:
-                    log += np.log10(own[s] / whole)
+                    log += np.log10((2 * own[s] - 1) / whole)
                     break
                 log += np.log10(len(own) / whole)
                 ruled |= own.keys()
             else:
                 log -= np.log10(SYMBOLS - len(ruled))
-            for c in ctxs:
+            for c in ctxs[: at + 1]:
                 seen.setdefault(c, Counter())[s] += 1
             past.append(s)
         out.append(float(log))
@@ -277,87 +257,26 @@ def held_out(id_col: Column, mod: int = 7, rest: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def _parts(counts: DataFrame, order: int, part: int) -> list:
-    """The trie in parts of about ``part`` entries, each sent to the tasks."""
-    spark = counts.sparkSession
-    n = max(1, -(-counts.count() // part))
-    as_arrays = lambda df: (lambda t: (t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()))(df.select("key", "n").toArrow())
-    if n == 1:
-        return [spark.sparkContext.broadcast((*as_arrays(counts), None))]
-    low = []
-    for k in range(2):  # at most 258 and 258 * 258 entries
-        own = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        low.append(merged(*as_arrays(own)))
-    spot = _part_of(F.shiftright("key", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1)), n)
-    return [spark.sparkContext.broadcast((*as_arrays(counts.where(spot == i)), low)) for i in range(n)]
-
-
-def _part_of(last_two: Column, n: int) -> Column:
-    return F.pmod(last_two * SPREAD, F.lit(n))
-
-
-_held: list = []  # the part that this worker scores by, and its trie
-
-
-def _trie(sent, order: int) -> Trie:
-    """The trie of a part, kept for as long as a worker scores by it."""
-    if not _held or _held[0] is not sent:
-        _held.clear()
-        keys, n, low = sent.value
-        by = np.argsort(keys)
-        _held.extend((sent, Trie(keys[by], n[by], order, low)))
-    return _held[1]
-
-
-def _scorer(sent, part: int, parts: int, order: int):
-    """The function that adds up, for each text, the symbols that are this part's."""
-
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        trie, out, held, size = _trie(sent, order), [], [], 0
-
-        def run() -> None:
-            if parts == 1:
-                out.append(trie.score(held))
-                return
-            keys, starts = contexts(held, order)
-            own = ((keys >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)) * np.uint64(SPREAD) % np.uint64(parts) == part
-            logs = np.zeros(len(keys))
-            logs[own] = trie.logs(keys[own])
-            out.append(np.add.reduceat(logs, starts[:-1]))
-
-        for text in texts.cast(pa.binary()).to_pylist():
-            held.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                run()
-                held, size = [], 0
-        if held:
-            run()
-        return pa.array(np.concatenate(out) if out else np.empty(0))
-
-    return score
+def deal(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``chunk``: rows that lie together, of about CHUNK_BYTES of text; to be written, so that it stays."""
+    names, kind = docs.columns, docs.withColumn("chunk", F.lit(0).cast("bigint")).schema
 
+    def run(batches):
+        held, chunk = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            size = held + np.cumsum(pc.binary_length(batch["text"].cast(pa.binary())).to_numpy())
+            step = size // CHUNK_BYTES
+            yield pa.record_batch([*(batch[c] for c in names), pa.array(chunk + step)], [*names, "chunk"])
+            if len(size):
+                held, chunk = int(size[-1] % CHUNK_BYTES), int(chunk + step[-1])
 
-def score(docs: DataFrame, counts: DataFrame, order: int = ORDER, part: int = PART) -> DataFrame:
-    """``docs``: row (unique), text and others. All but text, with score. A trie of several parts takes a pass each, whose
-    sums are written and added by row, so that a worker holds one part at a time."""
-    sent = _parts(counts, order, part)
-    first = docs.withColumn("score", _scorer(sent[0], 0, len(sent), order)("text")).drop("text")
-    if len(sent) == 1:
-        return first
-    sums = None
-    for i, x in enumerate(sent[1:], 1):
-        more = save(docs.select("row", _scorer(x, i, len(sent), order)("text").alias("s")))
-        sums = more if sums is None else sums.union(more)
-    return first.join(sums.groupBy("row").agg(F.sum("s").alias("s")), "row").withColumn("score", F.col("score") + F.col("s")).drop("s")
+    return docs.mapInArrow(run, kind)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """``docs``: text. token (bytes; empty: the end) and n."""
 
     def count(batches):
-        _held.clear()
         held: Counter = Counter()
 
         def flush():
@@ -375,8 +294,30 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, part: int = PART, frequent: int = FREQUENT) -> DataFrame:
+def _unigrams(texts: list[bytes], logs: dict[bytes, float]) -> dict[str, pa.Array]:
+    """n, known and log of each text by the words that have a log, and the others (rare)."""
+    n, known, total, offsets, names, times = [], [], [], [0], [], []
+    for text in texts:
+        own = Counter(text.lower().split())
+        own[b""] = 1
+        k, s = 0, 0.0
+        for t, m in own.items():
+            x = logs.get(t)
+            if x is None:
+                names.append(t), times.append(m)
+            else:
+                k += m
+                s += m * x
+        n.append(own.total()), known.append(k), total.append(s), offsets.append(len(names))
+    items = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["token", "k"])
+    rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+    return {"n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "log": pa.array(total, pa.float64()), "rare": rare}
+
+
+def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``, by what ``training`` has."""
+    if not 1 <= order <= 6:
+        raise ValueError("order must be from 1 to 6")
     docs, train = documents(df, id_col, text_col), documents(training, id_col, text_col)
     tokens = save(count_tokens(train))
     big_n, big_v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -391,36 +332,32 @@ def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
         least = 1 << p
     common = {bytes(r.token): float(np.log10(r.n + 1)) for r in tokens.where(F.col("n") >= least).collect()} if least else {}
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    rare = "array<struct<token:binary,k:bigint>>"
-
-    @F.arrow_udf(f"struct<n:bigint,known:bigint,log:double,rare:{rare}>")
-    def unigram(texts: pa.Array) -> pa.Array:
-        logs = sent.value
-        n, known, total, offsets, names, times = [], [], [], [0], [], []
-        for text in texts.cast(pa.binary()).to_pylist():
-            own = Counter(text.lower().split())
-            own[b""] = 1
-            k, s = 0, 0.0
-            for t, m in own.items():
-                x = logs.get(t)
-                if x is None:
-                    names.append(t), times.append(m)
-                else:
-                    k += m
-                    s += m * x
-            n.append(own.total()), known.append(k), total.append(s), offsets.append(len(names))
-        items = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], ["token", "k"])
-        rare_list = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), rare_list], ["n", "known", "log", "rare"])
-
-    seen = save(count_contexts(train, order))
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    if seen.count() > part:  # read more than once: the rows' numbers must be the same each time
-        rows = save(rows)
-    scored = score(rows.withColumn("u", unigram("text")), seen, order, part)
-    with batches_of(docs.sparkSession, ROWS):
-        first = save(scored.select("id", "row", "score", "u.n", "u.known", "u.log", "u.rare"))
-    discard(seen)
+
+    counts = save(count_contexts(train, order))
+    dealt = save(deal(docs.withColumn("row", F.monotonically_increasing_id())))
+    needs = save(count_contexts(dealt, order, "chunk"))
+    asked = save(needs.select("key").distinct().join(counts, "key", "left_anti"))
+    logs = probabilities(counts, asked, order)
+    known = save(needs.join(logs, "key").select("chunk", "key", "log"))
+    discard(needs)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, own = _Table(right["key"].to_numpy().view(np.uint64)), right["log"].to_numpy()
+        texts, scores, held, size = left["text"].cast(pa.binary()).to_pylist(), [], 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= CHUNK or i == len(texts):
+                keys, starts = contexts(texts[held:i], order)
+                scores.append(np.add.reduceat(own[table.find(keys)], starts[:-1]))
+                held, size = i, 0
+        more = _unigrams(texts, sent.value)
+        return pa.table({"id": left["id"], "row": left["row"], "score": np.concatenate(scores), **more})
+
+    kind = f"{dealt.schema['id'].dataType.simpleString()}"
+    fields = f"id {kind}, row bigint, score double, n bigint, known bigint, log double, rare array<struct<token:binary,k:bigint>>"
+    first = save(dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, fields))
+    for x in (dealt, known, counts, asked):
+        discard(x)
     others = first.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.k").join(tokens, "token")
     others = others.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("s"))
     out = first.drop("rare").join(others, "row", "left")
