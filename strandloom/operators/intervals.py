@@ -1,7 +1,6 @@
 """Interval arithmetic on (start, length) structs, as columns.
 
-How two intervals lie to each other decides what becomes of one when the other's bytes are cut out or replaced. The cases
-are asked in a fixed order, since several hold when ends coincide.
+What becomes of an interval when another's bytes are cut out or replaced is told by where each of its ends moves.
 """
 
 from __future__ import annotations
@@ -37,51 +36,17 @@ def hull(a: Column, b: Column) -> Column:
     return interval(start, F.greatest(a.start + a.len, b.start + b.len) - start)
 
 
-def by_relation(a: Column, b: Column, equal, b_inside, a_inside, head, tail, after) -> Column:
-    """One of the results by how b lies to a: equal; strictly inside a; strictly around a; ``head``(k): a covers b's first
-    k bytes; ``tail``(k): a covers b's last k; ``after``: b begins where a ends or later; else b lies before a, unchanged."""
-    s, t, ae, be = a.start, b.start, a.start + a.len, b.start + b.len
-    return (
-        F.when((s == t) & (ae == be), equal)
-        .when((s < t) & (be < ae), b_inside)
-        .when((t < s) & (ae < be), a_inside)
-        .when((s == t) & (ae > be), tail(be - s))
-        .when(s == t, head(ae - t))
-        .when((ae == be) & (s > t), tail(be - s))
-        .when(ae == be, head(ae - t))
-        .when((s <= t) & (t < ae), head(ae - t))
-        .when((s < be) & (be <= ae), tail(be - s))
-        .when(ae <= t, after)
-        .otherwise(b)
-    )
-
-
-def after_trim(a: Column, b: Column) -> Column:
-    """b once a's bytes are gone."""
-    none = F.lit(0)
-    return by_relation(
-        a, b,
-        equal=interval(b.start, none),
-        b_inside=interval(a.start, none),
-        a_inside=interval(b.start, b.len - a.len),
-        head=lambda k: interval(a.start, b.len - k),
-        tail=lambda k: interval(b.start, b.len - k),
-        after=interval(b.start - a.len, b.len),
-    )
-
-
-def after_set(a: Column, b: Column, n: Column) -> Column:
-    """b once a's bytes are n others. What a covers of a longer b stays covered as far as it goes; a b that only shares an
-    end with a neither grows with it nor takes it in, but moves."""
-    d = n - a.len
-    start = F.least(b.start, a.start + n)
-    moved = interval(b.start + d, b.len)
-    return by_relation(
-        a, b,
-        equal=interval(b.start, n),
-        b_inside=interval(start, F.least(b.len, a.start + n - start)),
-        a_inside=interval(b.start, b.len + d),
-        head=lambda k: F.when(k > n, interval(a.start, b.len - (k - n))).otherwise(moved),
-        tail=lambda k: F.when(k > n, interval(b.start, b.len - (k - n))).otherwise(b),
-        after=moved,
-    )
+def after_set(a: str, b: str, n: str) -> Column:
+    """Interval b once interval a's bytes are n others; all named in SQL, so that a step of many labels is built quickly.
+
+    Each end of b moves by itself. Before a it stays and behind a it moves with what follows. A start within a keeps its
+    distance from a's end if b reaches there, else from a's start, as far as the new bytes go; an end within a keeps its
+    distance from a's start. Where b is a, it becomes all of the new bytes. No bytes (n = 0) are a trim.
+    """
+    s, ae, t, be = f"{a}.start", f"({a}.start + {a}.len)", f"{b}.start", f"({b}.start + {b}.len)"
+    start = f"""CASE WHEN {t} < {s} THEN {t} WHEN {t} >= {ae} THEN {t} + {n} - {a}.len
+        WHEN {be} >= {ae} THEN {s} + {n} - least({n}, {ae} - {t}) ELSE {s} + least({n}, {t} - {s}) END"""
+    end = f"""CASE WHEN {be} > {ae} OR ({be} = {ae} AND {t} > {s}) THEN {be} + {n} - {a}.len
+        WHEN {be} > {s} THEN {s} + least({n}, {be} - {s}) ELSE {be} END"""
+    moved = f"named_struct('start', cast({start} AS int), 'len', cast(({end}) - ({start}) AS int))"
+    return F.expr(f"CASE WHEN {b} IS NULL THEN NULL WHEN {a} = {b} THEN named_struct('start', {t}, 'len', cast({n} AS int)) ELSE {moved} END")

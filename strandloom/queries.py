@@ -330,3 +330,18 @@ def simple_protocol(spark, d):
     """Cut a barcode off, note it in the name."""
     got = reads(spark, d).cut("", "seq1.* -> seq1.a, seq1.b", left_end(3)).set("", "name1.*", "{name1.*}_{seq1.a}").trim("", "seq1.a")
     return got.flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}")
+
+
+_STEPS = 10
+
+
+@query(f"""SELECT idx, name1 || {" || ".join(f"'_' || substr(seq1, {3 * i + 1}, 3)" for i in range(_STEPS))} AS name1, substr(seq1, {3 * _STEPS + 1}) AS seq1, 0::BIGINT AS first_len
+FROM reads WHERE n - {3 * _STEPS} >= 10 AND NOT contains(substr(seq1, {3 * _STEPS + 1}), 'TTTT')""")
+def long_protocol(spark, d):
+    """Ten times a barcode is cut off, noted in the name and trimmed, and a filter stands on labels of the first and last step."""
+    got = reads(spark, d)
+    for i in range(_STEPS):
+        got = got.cut("", f"seq1.* -> seq1.bc{i}, seq1.rest{i}", left_end(3)).set("", "name1.*", f"{{name1.*}}_{{seq1.bc{i}}}").trim("", f"seq1.bc{i}")
+    last = f"seq1.rest{_STEPS - 1}"
+    got = got.match_one("", f"{last} -> _, seq1.poly, _", "TTTT", ExactSearch).length_in_bounds("", f"{last} -> {last}.fits", (10, None))
+    return got.retain(f"seq1.bc0 & {last}.fits & !seq1.poly").flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}", first_len="seq1.bc0:len")

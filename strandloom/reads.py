@@ -227,10 +227,10 @@ class Reads:
             mark = F.col("_chosen")
             out = replace(self, df=self.df.withColumn("_chosen", self._c.selected(node)))
             for x in names:
-                out = out._replaced(mark, label(x), F.lit(""), F.lit(""), intervals.after_trim, False)
+                out = out._replaced(mark, label(x), F.lit(""), F.lit(""), False)
             return replace(out, df=out.df.drop("_chosen"))
         for x in names:
-            out = out._replaced(out._c.selected(node), label(x), F.lit(""), F.lit(""), intervals.after_trim, False)
+            out = out._replaced(out._c.selected(node), label(x), F.lit(""), F.lit(""), False)
         return out
 
     def set(self, selector: str | Node, name: str | Label | Attr, text: str) -> Reads:
@@ -241,26 +241,27 @@ class Reads:
             return self._put(chosen, self._missing(x.of) + checks, [], [(x, values.of_bytes(self._c.filled(parts)), chosen)])
         df = self._guarded(chosen, checks)
         qual = self._c.filled(parts, True) if self.schema.types[x.type] else F.lit("")
-        return replace(self, df=df)._replaced(chosen, x, self._c.filled(parts), qual, None, True)
-
-    def _replaced(self, chosen: Column | None, x: Label, text: Column, qual: Column, move, whole_grows: bool) -> Reads:
-        c, n = self._c, F.length(text)
-        a, string = c.span(x), c.strand(x.type)
-        move = move or (lambda a, b: intervals.after_set(a, b, n))
-        here = lambda new, old: new if chosen is None else F.when(chosen, new).otherwise(old)
-        put = lambda s, new: F.overlay(s, new, a.start + 1, a.len)
-        new_qual = put(string.qual, qual) if self.schema.types[x.type] else string.qual
-        new = F.struct(put(string.str, text).alias("str"), new_qual.alias("qual"), string.origin.alias("origin"), string.idx.alias("idx"))
-        cols = {Schema.column(x.type): pinned(here(new, string))}
-        checks = self._missing(x)
+        return replace(self, df=df)._replaced(chosen, x, self._c.filled(parts), qual, True)
+
+    def _replaced(self, chosen: Column | None, x: Label, text: Column, qual: Column, whole_grows: bool) -> Reads:
+        """What the step names many times is bound first: the label's interval, the new bytes and where the step applies."""
+        c = self._c
+        string = c.strand(x.type)
+        qualified = self.schema.types[x.type]
+        bound = {"_a": c.span(x), "_new": text, "_qual": qual if qualified else F.lit(""), "_on": F.lit(True) if chosen is None else chosen}
+        df = self._guarded(chosen, self._missing(x)).withColumns({k: pinned(v) for k, v in bound.items()})
+        a, on = F.col("_a"), F.col("_on")
+        put = lambda s, new: F.overlay(s, F.col(new), a.start + 1, a.len)
+        new = F.struct(put(string.str, "_new").alias("str"), (put(string.qual, "_qual") if qualified else string.qual).alias("qual"), string.origin.alias("origin"), string.idx.alias("idx"))
+        cols = {Schema.column(x.type): pinned(F.when(on, new).otherwise(string))}
         for name, col in self.schema.of_type(x.type).items():
-            b = F.col(col)
+            b = F.col(f"`{col}`")
             if whole_grows and not name.label.strip("*"):
-                got = intervals.interval(b.start, b.len + n - a.len)
+                got = F.when(b.isNotNull(), intervals.interval(b.start, b.len + F.length("_new") - a.len))
             else:
-                got = move(a, b)
-            cols[col] = pinned(here(F.when(b.isNotNull(), got), b))
-        return replace(self, df=self._guarded(chosen, checks).withColumns(cols))
+                got = intervals.after_set("_a", f"`{col}`", "length(_new)")
+            cols[col] = pinned(F.when(on, got).otherwise(b))
+        return replace(self, df=df.withColumns(cols).drop(*bound))
 
     # attributes
 
