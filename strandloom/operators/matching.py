@@ -17,6 +17,9 @@ import pyarrow as pa
 
 from .patterns import MatchType
 
+#: Strings are taken in groups of like length (up to twice the shortest) and of so many bytes at most, so that a batch takes
+#: memory by its bytes and not by its longest string; alignments hold some 100 bytes for each.
+CELLS = 1 << 20
 RESULT = "struct<choice:int,start:int,end:int,pattern:string>"
 
 
@@ -163,8 +166,21 @@ def _aligned(m: np.ndarray, n: np.ndarray, p: np.ndarray, kind: MatchType) -> tu
 
 def choose(strings: list[str | None], patterns: list[list[str] | str], kind: MatchType) -> pa.Array:
     """For each string (None: passed over) the pattern that is chosen, and where it is; null if none is. A pattern is one
-    text for all rows or one for each."""
-    rows = np.flatnonzero([s is not None for s in strings])
+    text for all rows or one for each. Alignments take patterns up to 4000 and strings up to 1,048,575 bytes, more fail."""
+    out: list[dict | None] = [None] * len(strings)
+    by_length: dict[int, list[int]] = {}
+    for i, s in enumerate(strings):
+        if s is not None:
+            by_length.setdefault(len(s).bit_length(), []).append(i)
+    for bits, rows in by_length.items():
+        some = max(1, CELLS >> bits)
+        for k in range(0, len(rows), some):
+            _choose(strings, np.array(rows[k : k + some]), patterns, kind, out)
+    return pa.array(out, pa.struct([("choice", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())]))
+
+
+def _choose(strings: list[str | None], rows: np.ndarray, patterns: list[list[str] | str], kind: MatchType, out: list[dict | None]) -> None:
+    """Put the choices of some rows into ``out``."""
     own = [strings[i] for i in rows]
     if kind.family == "aln":
         own = [s.upper() for s in own]
@@ -197,8 +213,6 @@ def choose(strings: list[str | None], patterns: list[list[str] | str], kind: Mat
             for r in at_rows:
                 text[r] = p
             done[at_rows] = best[at_rows] >= len(p)
-    out: list[dict | None] = [None] * len(strings)
     for i, r in enumerate(rows):
         if choice[i] >= 0:
             out[r] = {"choice": int(choice[i]), "start": int(start[i]), "end": int(end[i]), "pattern": text[i]}
-    return pa.array(out, pa.struct([("choice", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())]))

@@ -13,6 +13,9 @@ from . import (
     Count, Exact, ExactPrefix, ExactSearch, ExactSuffix, Frac, GlobalAln, Hamming, HammingPrefix, HammingSearch, HammingSuffix, LocalAln,
     Patterns, PrefixAln, Reads, SuffixAln, left_end, right_end,
 )
+from .errors import StrandError
+from .record import Read
+from .sources.shared import folder
 from .sources.sink import records
 
 SIZE = 100
@@ -345,3 +348,137 @@ def long_protocol(spark, d):
     last = f"seq1.rest{_STEPS - 1}"
     got = got.match_one("", f"{last} -> _, seq1.poly, _", "TTTT", ExactSearch).length_in_bounds("", f"{last} -> {last}.fits", (10, None))
     return got.retain(f"seq1.bc0 & {last}.fits & !seq1.poly").flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}", first_len="seq1.bc0:len")
+
+
+# files: written by the sinks to the folder that the cluster shares, and read back
+
+_FEW = ", few AS (SELECT * FROM reads WHERE contains(seq1, 'GATTAC'))\n"
+
+
+def _few(spark, d) -> Reads:
+    return reads(spark, d).match_one("", "seq1.* -> _, seq1.m, _", "GATTAC", ExactSearch).retain("seq1.m")
+
+
+@query(_FEW + "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, name1, seq1, qual1 FROM few")
+def fastq_single(spark, d):
+    path = f"{folder(spark)}/all.fastq.gz"
+    _few(spark, d).collect_fastq1("", path).run()
+    return Reads.fastq1(spark, path).flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}", qual1="seq1.*:qual")
+
+
+@query(_FEW + "SELECT row_number() OVER (PARTITION BY substr(seq1, 1, 2) ORDER BY idx) - 1 AS idx, substr(seq1, 1, 2) || '.fastq' AS file, name1, seq1 FROM few")
+def fastq_demux(spark, d):
+    to = folder(spark)
+    _few(spark, d).cut("", "seq1.* -> seq1.bc, _", left_end(2)).collect_fastq1("", to + "/{seq1.bc}.fastq").run_with_threads(4)
+    file = F.substring_index(F.col("_seq1.origin"), "/", -1)
+    return Reads.fastq1(spark, to).df.select(F.col("_seq1.idx").alias("idx"), file.alias("file"), F.col("_name1.str").alias("name1"), F.col("_seq1.str").alias("seq1"))
+
+
+@query("SELECT 2 * (row_number() OVER (ORDER BY idx) - 1) AS idx, n1 AS name1, s1 AS seq1, n2 AS name2, s2 AS seq2 FROM pairs", PAIRS)
+def fastq_interleaved(spark, d):
+    path = f"{folder(spark)}/both.fastq"
+    pairs(spark, d).collect_fastq2("", path, path).run()
+    return Reads.fastq_interleaved(spark, path).flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}", name2="{name2.*}", seq2="{seq2.*}")
+
+
+@query("SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, n1 AS name1, s1 AS seq1, n2 AS name2, s2 AS seq2 FROM pairs", PAIRS)
+def fastq_zip(spark, d):
+    """Mates in two files, by paths with a scheme, which Spark's own readers and writers take."""
+    to = folder(spark, scheme=True)
+    pairs(spark, d).collect_fastq2("", f"{to}/1.fastq", f"{to}/2.fastq.gz").run()
+    return Reads.fastq2(spark, f"{to}/1.fastq", f"{to}/2.fastq.gz").flat(idx="idx", name1="{name1.*}", seq1="{seq1.*}", name2="{name2.*}", seq2="{seq2.*}")
+
+
+@query(_FEW + "SELECT row_number() OVER (PARTITION BY starts_with(seq1, 'A') ORDER BY idx) - 1 AS idx, CASE WHEN starts_with(seq1, 'A') THEN 'a' ELSE 'b' END AS side, seq1 FROM few")
+def fastq_two_sinks(spark, d):
+    """Two sinks of one chain, whose first steps are evaluated once."""
+    to = folder(spark)
+    got = _few(spark, d).match_one("", "seq1.* -> seq1.a, _", "A", ExactPrefix)
+    got.collect_fastq1("seq1.a", f"{to}/a.fastq").collect_fastq1("!seq1.a", f"{to}/b.fastq").run()
+    sides = [Reads.fastq1(spark, f"{to}/{x}.fastq").flat(idx="idx", side=x, seq1="{seq1.*}") for x in "ab"]
+    return sides[0].union(sides[1])
+
+
+# templates and patterns of a read itself
+
+@query("""SELECT idx, repeat('AC', 3) || ';{}' AS x, repeat(substr(seq1, 1, 2), n % 4) AS y, repeat('N', 2 * length(substr(seq1, 1, 2))) AS z FROM reads""")
+def format_counts(spark, d):
+    """Repeats by an attribute, quotes with ; and braces, the length of an attribute's text."""
+    got = reads(spark, d).cut("", "seq1.* -> seq1.a, _", left_end(2)).for_each("", _modulo, attrs=["seq1.*.n"])
+    got = got.set("", "seq1.a.twice", "{seq1.a; 2}")
+    return got.flat(idx="idx", x=r"{'AC'; 3}{';'}\{\}", y="{seq1.a; seq1.*.n}", z="{'N'; |seq1.a.twice|}")
+
+
+def _modulo(read) -> None:
+    read.set_data("seq1.*.n", len(read.substring("seq1.*")) % 4)
+
+
+@query("""SELECT idx, 'GG' || substr(seq1, 1, 2) || 'TTT' || name1 || substr(seq1, 5) AS seq1, 'GG' || substr(qual1, 1, 2) || 'TTT' || repeat('I', length(name1)) || substr(qual1, 5) AS qual1 FROM reads""")
+def set_quality(spark, d):
+    """A template's qualities: a label's own where it has some, else I; literal text stands for itself."""
+    got = reads(spark, d).cut("", "seq1.* -> seq1.a, _", left_end(4)).cut("", "seq1.a -> seq1.b, _", left_end(2))
+    got = got.set("", "seq1.a", "GG{seq1.b}{'T'; 3}{name1.*}")
+    return got.flat(idx="idx", seq1="{seq1.*}", qual1="seq1.*:qual")
+
+
+@query("""SELECT idx, CASE WHEN n > 4 AND contains(substr(seq1, 5), substr(seq1, 1, 4)) THEN (3 + instr(substr(seq1, 5), substr(seq1, 1, 4)))::BIGINT END AS at,
+CASE WHEN n >= 8 THEN 4 - hamming(substr(seq1, n - 3, 4), substr(seq1, 1, 4)) >= 3 ELSE false END AS ends FROM reads""")
+def match_own_label(spark, d):
+    """Patterns that the read itself gives: its first four bytes, again later and near its end."""
+    got = reads(spark, d).cut("", "seq1.* -> seq1.bc, seq1.rest", left_end(4)).match_one("", "seq1.rest -> _, seq1.again, _", "{seq1.bc}", ExactSearch)
+    got = got.match_any("", "seq1.rest -> _, _", Patterns.of("tail", ["{seq1.bc}"]), HammingSuffix(Count(3)))
+    return got.flat(idx="idx", at="seq1.again:start", ends="seq1.rest.tail?")
+
+
+# the record by itself, in a user function
+
+
+def _by_hand(read) -> None:
+    n = len(read.substring("seq1.*"))
+    read.add_mapping("seq1.mid", min(n, 10), min(n, 30) - min(n, 10))
+    start, size = read.mapping("seq1.mid")
+    again = Read.from_fastq1(*read.to_fastq1(), idx=read.first_idx())
+    same = again.substring("seq1.*") == read.strand("seq1").text and again.strand("seq1").qual == read.substring_qual("seq1.*")
+    read.set_data("seq1.mid.note", read.format("{seq1.mid; 2}:{name1.*}"))
+    kind, shared = read.relation("seq1.*", "seq1.mid")
+    read.set_data("seq1.mid.seen", f"{start}+{size} {same} {kind} {shared} {read.matches('seq1.mid & !seq1.none')}")
+    read.set_data("seq1.mid.picture", str(read).split("seq1\n")[-1].split("\n")[0])
+
+
+@query("""SELECT idx, repeat(substr(seq1, 11, 20), 2) || ':' || name1 AS note,
+least(n, 10) || '+' || (least(n, 30) - least(n, 10)) || ' True ' || CASE WHEN n <= 10 THEN 'ab 0' WHEN n <= 30 THEN 'ab ' || (n - 10) ELSE 'b inside a 20' END || ' True' AS seen,
+'*     ' || CASE WHEN n = 1 THEN '|' ELSE '|' || repeat('-', n - 2) || '|' END AS picture FROM reads""")
+def record_by_hand(spark, d):
+    """A label made by hand, a record written and read again, a template, a selector, a relation and a picture."""
+    got = reads(spark, d).for_each("", _by_hand, labels=["seq1.mid"], attrs=["seq1.mid.note", "seq1.mid.seen", "seq1.mid.picture"])
+    return got.flat(idx="idx", note="{seq1.mid.note}", seen="{seq1.mid.seen}", picture="{seq1.mid.picture}")
+
+
+_BAD = {
+    "no such file": lambda spark: Reads.fastq1(spark, "/nowhere/at/all.fastq").collect(),
+    "no mate": lambda spark: Reads.fastq_interleaved_bytes(spark, b"@a\nA\n+\nI\n"),
+    "no record": lambda spark: Reads.fastq1_bytes(spark, b"@a\nAC\n+\nI\n"),
+    "no expression": lambda spark: Reads.fastq1_bytes(spark, b"").retain("seq1.a &"),
+    "no name": lambda spark: Reads.fastq1_bytes(spark, b"").cut("", "seq3.* -> seq1.a, _", left_end(1)),
+    "open brace": lambda spark: Reads.fastq1_bytes(spark, b"").set("", "name1.*", "{seq1.*"),
+    "no pattern list": lambda spark: Patterns.from_yaml("patterns: 3"),
+    "never made": lambda spark: Reads.fastq1_bytes(spark, b"").trim("", "seq1.a"),
+    "made twice": lambda spark: Reads.fastq1_bytes(spark, b"").cut("", "seq1.* -> seq1.a, seq1.a", left_end(1)),
+    "not in this read": lambda spark: Reads.fastq1_bytes(spark, b"@a\nC\n+\nI\n").match_one("", "seq1.* -> _, seq1.m, _", "A", ExactSearch).trim("", "seq1.m").collect(),
+    "nothing": lambda spark: Reads.fastq1_bytes(spark, b"@a\nC\n+\nI\n").cut("", "seq1.* -> seq1.a, _", left_end(1)).collect(),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'false' if k == 'nothing' else 'true'})" for k in _BAD) + ") t(what, fails)", "")
+def errors(spark, d):
+    """What must fail, when the plan is built or when it runs."""
+    from pyspark.errors import PySparkException
+
+    rows = []
+    for what, job in _BAD.items():
+        try:
+            job(spark)
+            rows.append((what, False))
+        except (StrandError, PySparkException):
+            rows.append((what, True))
+    return spark.createDataFrame(rows, "what string, fails boolean")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import time as clock
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -78,6 +79,7 @@ class Reads:
     df: DataFrame
     schema: Schema
     effects: tuple = ()  #: what run() does besides: sinks and observers, in order
+    held: tuple = ()  #: frames that forks keep
 
     # making
 
@@ -430,9 +432,12 @@ class Reads:
         return self._sink(selector, (path1, path2))
 
     def _sink(self, selector: str | Node, paths: tuple[str, ...]) -> Reads:
-        from .sources.sink import records
+        from .sources.sink import is_remote, records
 
-        return replace(self, effects=(*self.effects, ("sink", records(self, selector, paths))))
+        remote = {is_remote(p) for p in paths}
+        if len(remote) > 1:
+            raise ExpressionError("both mates go to paths of one kind, with a scheme or without")
+        return replace(self, effects=(*self.effects, ("sink", records(self, selector, paths), self.df, remote.pop())))
 
     # running
 
@@ -445,20 +450,33 @@ class Reads:
         return self
 
     def fork(self) -> tuple[Reads, Reads]:
-        """Two branches of the same reads; what leads here is evaluated once."""
-        shared = replace(self, df=self.df.persist())
+        """Two branches of the same reads; what leads here is evaluated once. :func:`run` of both releases it; who runs
+        the branches one by one calls :meth:`release` at the end."""
+        shared = replace(self, df=self.df.persist(), held=(*self.held, self.df))
         return shared, replace(shared, effects=())
 
-    def run(self) -> None:
-        """Do all effects; without a sink, evaluate the reads."""
-        sinks = [e for e in self.effects if e[0] == "sink"]
+    def release(self) -> None:
+        """Drop what forks keep for these reads' branches."""
+        for df in self.held:
+            df.unpersist()
+
+    def run(self, tasks: int | None = None) -> None:
+        """Do all effects; without a sink, evaluate the reads. With several things to do, the steps up to the first sink
+        are evaluated once and kept meanwhile. ``tasks``: the least number of tasks that write (as far as there are paths)."""
         from .sources.sink import write
 
-        for _, rows in sinks:
-            write(rows)
+        sinks = [e for e in self.effects if e[0] == "sink"]
         counts = [e for e in self.effects if e[0] == "count"]
-        if not sinks or counts:
-            self.df.write.format("noop").mode("overwrite").save()
+        kept = sinks[0][2].persist() if sinks and len(sinks) + bool(counts) > 1 else None
+        try:
+            for _, rows, _, remote in sinks:
+                write(rows, tasks, remote)
+            if not sinks or counts:
+                df = self.df if tasks is None or sinks else self.df.repartition(tasks)
+                df.write.format("noop").mode("overwrite").save()
+        finally:
+            if kept is not None:
+                kept.unpersist()
         for e in self.effects:
             if e[0] == "count":
                 got = e[1].get
@@ -469,10 +487,11 @@ class Reads:
                 e[2](clock.monotonic() - began)
 
     def run_with_threads(self, n: int) -> None:
-        """Run in at least n tasks at a time, as far as the cluster has room."""
+        """Run in at least n tasks at a time, as far as the cluster has room: sinks write, and reads without a sink are
+        dealt out, in n tasks."""
         if n < 1:
             raise ValueError("at least one thread")
-        replace(self, df=self.df.repartition(n)).run()
+        self.run(n)
 
     def collect(self) -> list[Read]:
         """All reads, in order of index, to the driver; effects are done too."""
@@ -504,15 +523,30 @@ class Reads:
 
 
 def run(*branches: Reads) -> None:
-    """Run several branches, one after the other."""
-    for b in branches:
-        b.run()
+    """Run several branches, one after the other, and release what their forks kept."""
+    try:
+        for b in branches:
+            b.run()
+    finally:
+        for b in branches:
+            b.release()
 
 
 def run_with_threads(n: int, *branches: Reads) -> None:
-    """Run several branches, each in at least n tasks at a time."""
-    for b in branches:
-        b.run_with_threads(n)
+    """Run several branches side by side, each in at least n tasks at a time."""
+    try:
+        with ThreadPoolExecutor(max(1, len(branches)), initializer=_in_session, initargs=branches[:1]) as pool:
+            for done in [pool.submit(b.run_with_threads, n) for b in branches]:
+                done.result()
+    finally:
+        for b in branches:
+            b.release()
+
+
+def _in_session(reads: Reads) -> None:
+    """Make this thread's session that of the reads, by which Spark looks up the FASTQ writer."""
+    spark = reads.df.sparkSession
+    type(spark)._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
 
 
 def to_read(row: dict, schema: Schema) -> Read:

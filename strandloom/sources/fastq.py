@@ -2,7 +2,8 @@
 
 Records are numbered by their order in a file, which only reading it in order tells, so a file is one partition and many
 files are read side by side. Local and mounted paths go through a Python data source that streams; a path with a scheme
-(of a store that only Spark reads) comes through Spark's own binary files, whole, up to 2 GB each.
+(of a store that only Spark reads) comes through Spark's own binary files, whole, up to 2 GB each; mates of two files meet
+in one row.
 
 Bytes become characters one to one (ISO-8859-1), so offsets are those of bytes. Plain and gzip files are told apart by
 their first bytes. An empty file has no reads.
@@ -19,6 +20,7 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import FastqError
@@ -141,20 +143,39 @@ def to_reads(df: DataFrame, mode: str) -> Reads:
 
 
 def binary_rows(files: DataFrame, mode: str) -> DataFrame:
-    """Rows of Spark's binary files (path, content); also of a stream of them."""
-    if mode == "paired":
-        raise FastqError("mates in two files are read from mounted paths only")
+    """Rows of Spark's binary files (path, content; of mates also content2); also of a stream of them."""
+    if mode == "paired" and "content2" not in files.columns:
+        raise FastqError("mates in two files are not read from one stream")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda data, path: parse(opened(io.BufferedReader(io.BytesIO(data))), path)
         for batch in parts:
-            for path, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                records = parse(opened(io.BufferedReader(io.BytesIO(data))), path)
-                yield from batches((singles if mode == "single" else interleaved)(records, path), _names(mode))
+            for row in batch.to_pylist():
+                one = read(row["content"], row["path"])
+                if mode == "paired":
+                    rows = paired(one, read(row["content2"], row["path"]), row["path"])
+                else:
+                    rows = (singles if mode == "single" else interleaved)(one, row["path"])
+                yield from batches(rows, _names(mode))
 
-    return files.select("path", "content").mapInArrow(run, ONE if mode == "single" else TWO)
+    columns = ["path", "content", *["content2"] * (mode == "paired")]
+    return files.select(*columns).mapInArrow(run, ONE if mode == "single" else TWO)
+
+
+def _mates(spark: SparkSession, path: str, path2: str) -> DataFrame:
+    """The contents of first and second files, in order of their names."""
+    first, second = (spark.read.format("binaryFile").load(p) for p in (path, path2))
+    named = [[r.path for r in f.select("path").orderBy("path").collect()] for f in (first, second)]  # names alone
+    if len(named[0]) != len(named[1]):
+        raise FastqError("as many first as second files are needed")
+    both = spark.createDataFrame(list(zip(*named, strict=True)), "path string, path2 string")
+    second = second.select(F.col("path").alias("path2"), F.col("content").alias("content2"))
+    return first.select("path", "content").join(both, "path").join(second, "path2")
 
 
 def load(spark: SparkSession, path: str, mode: str, path2: str | None = None) -> Reads:
+    if "://" in path and mode == "paired":
+        return to_reads(binary_rows(_mates(spark, path, path2), mode), mode)
     if "://" in path:
         return to_reads(binary_rows(spark.read.format("binaryFile").load(path), mode), mode)
     spark.dataSource.register(FastqSource)

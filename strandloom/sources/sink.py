@@ -1,7 +1,7 @@
 """FASTQ sinks: each read goes to the file that its template names.
 
 One file per path, in order of index and mate. Reads are dealt out by path and written by one task each to a file beside
-the target; the job's commit moves all of them into place, so a task that is run again, or a job that fails, leaves no
+the target; a path with a scheme is written through Spark's own files, to any store that Spark reaches; the job's commit moves all of them into place, so a task that is run again, or a job that fails, leaves no
 half-written file. A path that ends in .gz is compressed. Several paths are written side by side; one path is one task, as
 the file has one order.
 """
@@ -13,6 +13,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from ..errors import FastqError, ReadNameError
 from ..functions.selector import sel
-from ..functions.template import template
+from ..functions.template import Text, template
 from ..names import Label
 
 
@@ -95,8 +96,55 @@ class FastqWriter(DataSourceArrowWriter):
                 os.remove(part)
 
 
-def write(rows: DataFrame) -> None:
+def is_remote(path: str) -> bool:
+    """Whether a path template names a store by its scheme; that is told by its first literal text."""
+    first = template(path)[:1]
+    return bool(first) and isinstance(first[0], Text) and "://" in first[0].text
+
+
+def write(rows: DataFrame, tasks: int | None = None, remote: bool = False) -> None:
+    """Write path, idx, mate and record: by the data source, or, of a remote store, by Spark's own writer."""
+    if not remote:
+        dealt(rows, tasks).write.format("fastq").mode("append").save()
+        return
+    for packed in (False, True):
+        _write_remote(rows.where(F.endswith("path", F.lit(".gz")) == packed), packed, tasks)
+
+
+def dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows of a path together and in order."""
     from .fastq import FastqSource
 
     rows.sparkSession.dataSource.register(FastqSource)
-    rows.repartition("path").sortWithinPartitions("path", "idx", "mate").write.format("fastq").mode("append").save()
+    out = rows.repartition("path") if tasks is None else rows.repartition(tasks, "path")
+    return out.sortWithinPartitions("path", "idx", "mate")
+
+
+def _write_remote(rows: DataFrame, packed: bool, tasks: int | None) -> None:
+    """Each path's records as one text file of a folder beside the first path, moved to the path when all are written. The
+    folder's own parts are named by the path, so the driver lists them and holds no records. Characters beyond ASCII are
+    written as UTF-8."""
+    if rows.isEmpty():
+        return
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    first = rows.agg(F.min("path")).first()[0]
+    staging = jvm.org.apache.hadoop.fs.Path(f"{first.rsplit('/', 1)[0]}/_writing-{uuid.uuid4().hex}")
+    files = staging.getFileSystem(conf)
+    try:
+        text = dealt(rows, tasks).select("path", F.expr("substr(record, 1, length(record) - 1)").alias("value"))
+        text.write.partitionBy("path").option("compression", "gzip" if packed else "none").text(staging.toString())
+        for folder in files.listStatus(staging):
+            name = folder.getPath().getName()
+            if not name.startswith("path="):
+                continue
+            target = jvm.org.apache.hadoop.fs.Path(unquote(name[5:]))
+            parts = [x.getPath() for x in files.listStatus(folder.getPath())]
+            if len(parts) != 1:
+                raise FastqError(f"{target.toString()} was written in {len(parts)} parts")
+            files.mkdirs(target.getParent())
+            files.delete(target, False)
+            if not files.rename(parts[0], target):
+                raise FastqError(f"{target.toString()} could not be written")
+    finally:
+        files.delete(staging, True)

@@ -130,3 +130,42 @@ def test_streams(spark, tmp_path):
     got = []
     start(reads, lambda r, n: got.extend(seqs(r)), str(tmp_path / "cp")).awaitTermination(60)
     assert got == ["ACC", "G"]
+
+
+def test_sinks_by_paths_with_a_scheme(spark, tmp_path):
+    one, two = tmp_path / "1.fastq", tmp_path / "2.fastq"
+    one.write_bytes(fastq("AA", "CC", "AG")), two.write_bytes(fastq("GG", "TT", "AC"))
+    pairs = Reads.fastq2(spark, f"file://{one}", f"file://{two}")
+    assert seqs(pairs, "seq2") == ["GG", "TT", "AC"]
+    to = f"file://{tmp_path}/out"
+    got = pairs.cut("", "seq1.* -> seq1.bc, _", left_end(1))
+    got.collect_fastq2("", to + "/{seq1.bc}=1.fastq", to + "/{seq1.bc} 2.fastq.gz").run()
+    assert sorted(x for x in os.listdir(tmp_path / "out") if x[0] != ".") == ["A 2.fastq.gz", "A=1.fastq", "C 2.fastq.gz", "C=1.fastq"]
+    assert (tmp_path / "out" / "A=1.fastq").read_bytes() == b"@r0 x\nAA\n+\nII\n@r2 x\nAG\n+\nII\n"
+    assert gzip.decompress((tmp_path / "out" / "C 2.fastq.gz").read_bytes()) == b"@r1 x\nTT\n+\nII\n"
+    got.collect_fastq2("", to + "/all.fastq", to + "/all.fastq").run()  # written over, mates side by side
+    got.collect_fastq2("", to + "/all.fastq", to + "/all.fastq").run()
+    assert seqs(Reads.fastq_interleaved(spark, f"{tmp_path}/out/all.fastq"), "seq2") == ["GG", "TT", "AC"]
+    with pytest.raises(Exception, match="one kind"):
+        got.collect_fastq2("", to + "/x", "/tmp/y")
+
+
+def test_threads_reach_the_sinks_and_branches_run_side_by_side(spark, tmp_path):
+    base = Reads.fastq1_bytes(spark, fastq("AC", "CC", "AG", "TT"))
+    a, b = base.cut("", "seq1.* -> seq1.bc, _", left_end(1)).fork()
+    a, b = a.collect_fastq1("", f"{tmp_path}/a/{{seq1.bc}}.fastq"), b.collect_fastq1("", f"{tmp_path}/b/{{seq1.bc}}.fastq")
+    run_with_threads(3, a, b)
+    assert sorted(os.listdir(tmp_path / "a")) == sorted(os.listdir(tmp_path / "b")) == ["A.fastq", "C.fastq", "T.fastq"]
+    assert not a.held[0].storageLevel.useMemory
+
+
+def test_several_sinks_evaluate_the_chain_once(spark, tmp_path):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(read):
+        passed.add(1)
+
+    base = Reads.fastq1_bytes(spark, fastq("AC", "CC", "AG", "TT")).for_each("", count)
+    base.collect_fastq1("", f"{tmp_path}/a.fastq").trim("", "name1.*").collect_fastq1("", f"{tmp_path}/b.fastq").run()
+    assert passed.value == 4
+    assert (tmp_path / "a.fastq").read_bytes().count(b"@r") == 4 and (tmp_path / "b.fastq").read_bytes().count(b"@\n") == 4

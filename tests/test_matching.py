@@ -158,3 +158,24 @@ def test_local_alignment_of_strings_of_many_lengths():
     together = m.choose(strings, ["ACGTAC", "GGTTA"], kind).to_pylist()
     assert together == [m.choose([s], ["ACGTAC", "GGTTA"], kind).to_pylist()[0] for s in strings]
     assert any(together) and not all(together)
+
+
+def test_one_long_string_costs_no_more_than_itself():
+    import random
+    import tracemalloc
+
+    from strandloom import HammingPrefix, LocalAln
+    from strandloom.operators.matching import choose
+
+    r = random.Random(9)
+    short = ["".join(r.choice("ACGT") for _ in range(r.randrange(0, 120))) for _ in range(3000)]
+    long = short[:1500] + ["ACGT" * 50_000] + [None] + short[1500:]
+    for kind, n in ((HammingPrefix(Frac(0.5)), 3000), (LocalAln(0.8, 0.6), 60)):
+        some = short[:n]
+        want = choose(some, ["GATTACAGAT"], kind).to_pylist()
+        mixed = long if n == 3000 else [*some, "ACGT" * 5000]
+        tracemalloc.start()
+        got = choose(mixed, ["GATTACAGAT"], kind).to_pylist()
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+        assert (got[:1500] + got[1502:] if n == 3000 else got[:-1]) == want
