@@ -7,10 +7,13 @@ extra columns of any name never clash with its own.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once a row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -90,6 +101,21 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(BATCH, held) if held is not None else spark.conf.unset(BATCH)
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library gives memory back by itself
+        return None
+
+
+def give_back() -> None:
+    """Freed memory back to the system, so that a worker that waits for its next task holds what it needs and no more."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

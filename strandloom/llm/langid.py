@@ -8,7 +8,7 @@ Profiles are counted over every training document; counts are summed for each ta
 tasks hold ``depth`` n-grams a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text where there was
-nothing to learn from. Training passes over null texts and languages. The score is 1 minus the winner's distance over the
+nothing to learn from. Columns of ``df`` named as the results are replaced, all others stay. Training passes over null texts and languages. The score is 1 minus the winner's distance over the
 largest possible one.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, give_back
+
 DEPTH, SALTS, UNKNOWN = 300, 16, "und"
 
 
@@ -93,6 +95,8 @@ def _count(batches):
             held.clear()
             size = 0
     yield from flush()
+    held.clear()
+    give_back()
 
 
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", depth: int = DEPTH) -> Profiles:
@@ -114,10 +118,12 @@ def predict(df: DataFrame, profiles: Profiles, text_col: str = "text", into: tup
     @F.arrow_udf("struct<lang:string,score:double>")
     def find(texts: pa.Array) -> pa.Array:
         found = [profiles.predict(x) for x in texts.to_pylist()]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang", "score"])
 
-    found = df.withColumn("_found", find(F.col(f"`{text_col}`")))
-    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in into], F.col("_found.lang").alias(into[0]), F.col("_found.score").alias(into[1]))
+    name = free_name(df, "_found")
+    found = df.withColumn(name, find(F.col(f"`{text_col}`")))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in into], F.col(f"`{name}`.lang").alias(into[0]), F.col(f"`{name}`.score").alias(into[1]))
 
 
 def held_out(id_col: Column, mod: int = 4, rest: int = 2) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, save
+from .common import documents, free_name, give_back, save
 from .components import components
 
 WIDTH, SEED, RADIUS, WHOLE = 4, 42, 4, 16384
@@ -57,7 +57,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.arrow_udf("bigint")
     def make(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, width, seed) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
+        got = np.array([fingerprint(t, width, seed) for t in texts.cast(pa.binary()).to_pylist()], np.uint64)
+        give_back()
+        return pa.array(got.view(np.int64))
 
     return documents(df, id_col, text_col).select("id", make("text").alias("fp"), *[F.xxhash64("text").alias("h")] * hashed)
 
@@ -183,11 +185,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     rows = docs.groupBy("fp", "id", "h").agg(F.count("*").alias("n"))
     least = save(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "h", "n")).alias("least")))
     first = save(_rooted(least, radius).groupBy("root").agg(F.min("least").alias("l")).select(F.col("l.id").alias("_keep"), F.col("l.h").alias("_h"), "l.n"))
-    match = key.eqNullSafe(F.col("_keep")) & (text == F.col("_h"))
-    once = df.join(first.where("n = 1"), match, "left_semi")
+    keep, h = free_name(df, "_keep"), free_name(df, "_h")
+    first = first.withColumnsRenamed({"_keep": keep, "_h": h})
+    match = key.eqNullSafe(F.col(keep)) & (text == F.col(h))
+    once = df.join(first.where("n = 1").drop("n"), match, "left_semi")
     if first.where("n > 1").isEmpty():
         return once
-    more = df.join(first.where("n > 1"), match, "left_semi")
+    more = df.join(first.where("n > 1").drop("n"), match, "left_semi")
     hashed = more.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("_id"), text.alias("_t"))
     one = hashed.dropDuplicates(["_id", "_t"])
     return once.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in df.columns]))

@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MARK, KEPT, MODEL = "▁", 120_000, "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts beyond so many characters are cut one by one and never kept; texts are taken up to so many characters, and rows, at a time.
 LONG, AT_ONCE, ROWS = 48, 1 << 18, 250
@@ -441,7 +443,10 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", into:
 
     @F.arrow_udf("binary")  # by batches, so that decoding runs in the same worker
     def run(texts: pa.Array, variants: pa.Array) -> pa.Array:
-        return encode_array(proto, texts, rate, seed, variants, _plain(proto))
+        try:
+            return encode_array(proto, texts, rate, seed, variants, _plain(proto))
+        finally:
+            give_back()
 
     copy = F.lit(0) if copy_col is None else F.col(f"`{copy_col}`").cast("int")
     variant = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), copy)
@@ -454,7 +459,10 @@ def decode(df: DataFrame, pieces_col: str = "pieces", into: str = "decoded", mod
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
-        return decode_array(proto, ids)
+        try:
+            return decode_array(proto, ids)
+        finally:
+            give_back()
 
     return df.withColumn(into, run(F.col(f"`{pieces_col}`")))
 
