@@ -90,6 +90,14 @@ def save(df: DataFrame) -> DataFrame:
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand whole texts to Python by so many rows at most, where it would take more. This stays set, as it
+    counts when a plan runs and not when it is made; it changes no result. Of 10,000 texts (Spark's own number) the JVM and
+    the worker each hold several copies outside the heap, and the JVM does not give that memory back."""
+    if int(spark.conf.get(BATCH, "10000")) > rows:
+        spark.conf.set(BATCH, rows)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows for what runs inside."""

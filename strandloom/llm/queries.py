@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import run as pipeline
 
 from . import fingerprints, langid, license_scan, line_dedup, mixing, ppm, quality_rules, simhash, sp_dropout, suffix_dedup
+from .common import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -40,6 +41,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = sp_dropout.decode(sp_dropout.encode(_table(spark, sf_dir).select("doc_id", "text")))
     return out.select(
         "doc_id",
@@ -123,6 +125,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = _table(spark, sf_dir)
     held = ppm.held_out(F.col("doc_id"))
     out = ppm.evaluate(docs, docs.where(~held))
