@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import langid, line_dedup, mixing, simhash, sp_dropout
-from strandloom.llm.common import save
+from strandloom.llm.common import save, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     profiles = langid.fit(docs)
     found = langid.predict(docs.select(*COLUMNS), profiles, into=("_lang", "_score"))
     return found.where(F.col("_lang") != langid.UNKNOWN).withColumn("lang", F.col("_lang")).select(*COLUMNS)
@@ -29,6 +30,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
@@ -42,6 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     copy = "copy" if "copy" in docs.columns else None
     out = sp_dropout.decode(sp_dropout.encode(docs.select("doc_id", "text", "lang", "source", *[copy] * bool(copy)), copy_col=copy))
     return out.select(
