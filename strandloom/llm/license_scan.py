@@ -9,7 +9,9 @@ order (coverage) and the span of the document, in characters, from the first to
 The index holds the templates alone, which are a parameter, so it is sent with the code; documents are never shuffled.
 
 Defined results: words are runs of ASCII letters and digits, lower-cased; a null or empty text matches nothing; a template
-may match several times in a text, in places that do not overlap; matches inside the span of a longer one are left out.
+may match several times in a text, in places that do not overlap; matches inside the span of a longer one are left out; a
+match needs ``coverage`` (0.8) of its template's words in order, within ``band`` words of their places; a column of ``df``
+named as the result is replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Defined results: a line goes if an equal or near line stands earlier, whether th
 always stay. Lines under ``min_chars`` only go for equal ones (one edit of a short line makes another line). A null text
 counts as empty and stays so; a document may lose all its lines. Of rows equal in id and text one (the least by a hash of
 the whole row) is the earliest, and the others lose all their lines; unequal texts under one id come in the order of their
-hashes; null ids come first.
+hashes; null ids come first. A column of ``df`` named as the counts (``into``) is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import documents, save
 
 MIN_CHARS = 16
+#: Lines from so many characters on emit their variants from running sums.
+LONG = 2000
 #: Up to so many lines that may be near others (8 bytes each) are sent to every task; beyond, lines are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
@@ -50,6 +52,30 @@ def _halves() -> Column:
     return F.array(*keys)
 
 
+def _variants(picked: DataFrame) -> DataFrame:
+    """``picked``: h, n, at, line. The line (place 0) and all its variants as keys v, each with the place left out."""
+    places = F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.col("n")))
+    spots = picked.select("h", "at", "n", "line", F.explode(places).alias("i"))
+    left_out = F.concat(F.col("line").substr(F.lit(1), F.col("i") - 1), F.expr("substr(line, i + 1)"))
+    key = F.when(F.col("i") == 0, F.xxhash64("line")).otherwise(F.xxhash64(left_out))
+    return spots.select(key.alias("v"), "i", "h", "at", "n")
+
+
+def _long_variants(picked: DataFrame) -> DataFrame:
+    """The same in time that grows with the line's length and not with its square. A key is a sum over the characters, each
+    hashed with its place; leaving one out moves those behind it one place back, so all variants follow from two running
+    sums. Keys are not those of :func:`_variants`; lines of LONG characters take both ways, so each near pair shares one."""
+    chars = picked.select("h", "at", "n", F.posexplode(F.split("line", "")).alias("p", "c"))
+    low = lambda place, seed: F.xxhash64("c", place, F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))  # noqa: E731  sums of 2^23 fit
+    rows = chars.select("h", "at", "n", (F.col("p") + 1).alias("i"), *[low(F.col("p") - d, k).alias(f"{x}{k}") for x, d in (("a", 0), ("b", 1)) for k in (0, 1)])
+    ahead, whole = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("h")
+    behind = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda k: F.coalesce(F.sum(f"a{k}").over(ahead), F.lit(0)) + F.sum(f"b{k}").over(whole) - F.sum(f"b{k}").over(behind)
+    each = rows.select(F.xxhash64(of(0), of(1)).alias("v"), "i", "h", "at", "n")
+    full = rows.groupBy("h", "at", "n").agg(F.xxhash64(F.sum("a0"), F.sum("a1")).alias("v"))
+    return each.union(full.select("v", F.lit(0).alias("i"), "h", "at", "n"))
+
+
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """All distinct lines (h, at: first place) and, of those, the ones (h, witness) with a near line before them."""
     keys = F.when(F.col("n") >= min_chars - 1, _halves())
@@ -60,24 +86,23 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
     few = some.count() <= BROADCAST_LINES
     lines = _split(docs).select("at", "line", "h", "n")
     picked = lines.join(F.broadcast(some) if few else some, "h").groupBy("h", "n").agg(F.min("at").alias("at"), F.min("line").alias("line"))
-    places = F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.col("n")))
-    spots = picked.select("h", "at", "n", "line", F.explode(places).alias("i"))
-    left_out = F.concat(F.col("line").substr(F.lit(1), F.col("i") - 1), F.expr("substr(line, i + 1)"))
-    key = F.when(F.col("i") == 0, F.xxhash64("line")).otherwise(F.xxhash64(left_out))
-    variants = spots.select(key.alias("v"), "i", "h", "at", "n")
+    variants = _variants(picked.where(F.col("n") <= LONG)).union(_long_variants(picked.where(F.col("n") >= LONG)))
     group, same = Window.partitionBy("v"), Window.partitionBy("v", "i")
-    here = F.struct("at", "h")
+    here = F.struct("at", "h", "i")
     met = variants.select(
-        "h", "at", "n",
+        "h", "at", "n", "i",
         F.when(F.col("i") > 0, F.min(F.when(F.col("n") >= min_chars, here)).over(same)).alias("changed"),
         F.when(F.col("i") > 0, F.min(F.when(F.col("i") == 0, here)).over(group)).alias("shorter"),
         F.when(F.col("i") == 0, F.min(F.when(F.col("i") > 0, here)).over(group)).alias("longer"),
     )
-    each = met.select("h", "at", F.explode(F.array("changed", "shorter", "longer")).alias("by")).where("by.at < at and by.h <> h")
-    found = each.groupBy("h").agg(F.min("by").alias("by")).select("h", F.col("by.h").alias("w"))
+    each = met.select("h", "at", "i", F.explode(F.array("changed", "shorter", "longer")).alias("by")).where("by.at < at and by.h <> h")
+    found = each.groupBy("h").agg(F.min(F.struct("by", "i")).alias("x")).select("h", F.col("x.by.h").alias("w"), F.col("x.i").alias("i"), F.col("x.by.i").alias("j"))
     texts = picked.select("h", "line", "n")
     pairs = found.join(texts, "h").join(texts.select(F.col("h").alias("w"), F.col("line").alias("other"), F.col("n").alias("m")), "w")
-    near = pairs.where((F.least("n", "m") >= min_chars - 1) & (F.greatest("n", "m") >= min_chars) & (F.levenshtein("line", "other", 1) == 1))
+    # the edit distance: of long lines by the places left out, after which they are equal
+    without = lambda c, i: F.when(F.col(i) == 0, F.col(c)).otherwise(F.expr(f"concat(substr({c}, 1, {i} - 1), substr({c}, {i} + 1))"))
+    one_edit = F.when(F.greatest("n", "m") <= LONG, F.levenshtein("line", "other", 1) == 1).otherwise(without("line", "i") == without("other", "j"))
+    near = pairs.where((F.least("n", "m") >= min_chars - 1) & (F.greatest("n", "m") >= min_chars) & one_edit)
     return d.select("h", "at"), near.select("h", F.col("w").alias("witness"))
 
 
@@ -96,8 +121,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.join(same, match, "left_anti").withColumn("later", F.lit(False)).unionByName(late)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``df``, the text without the lines that go, and struct ``lines`` (n: lines with a word, removed)."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, into: str = "lines") -> DataFrame:
+    """All columns of ``df``, the text without the lines that go, and a struct (n: lines with a word, removed)."""
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != into])
     docs = documents(df, id_col, text_col)
     d, near = near_lines(docs, min_chars)
     stay = d.join(near, "h", "left_anti").select("at.doc", "at.pos").groupBy("doc").agg(F.collect_list("pos").alias("_stay"))
@@ -115,4 +141,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     info = F.struct(n.cast("bigint").alias("n"), (n - F.size("_s")).cast("bigint").alias("removed"))
     col = F.col("row")
     cut = F.when(col.getField(text_col).isNotNull(), kept)
-    return split.select(*[cut.alias(c) if c == text_col else col.getField(c).alias(c) for c in df.columns], info.alias("lines"))
+    return split.select(*[cut.alias(c) if c == text_col else col.getField(c).alias(c) for c in df.columns], info.alias(into))

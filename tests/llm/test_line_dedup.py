@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import line_dedup as ld
 
 
@@ -72,3 +74,29 @@ def test_of_equal_rows_the_first_keeps_its_lines(table):
     got = sorted((r.doc_id or 0, r.text is None, r.text or "", r.lines.n, r.lines.removed) for r in rows)
     gone = [(0, False, "", 1, 1)] * 2 + [(0, False, b, 1, 0), (3, False, "", 2, 2), (3, False, a, 2, 0), (4, False, "short", 1, 0)]
     assert got == sorted([*gone, (5, True, "", 0, 0), (5, True, "", 0, 0)])
+
+
+def test_long_lines_by_running_sums(table, monkeypatch):
+    for long in (0, 12, 20, 30):  # lines on either side of the bound, and on it
+        monkeypatch.setattr(ld, "LONG", long)
+        docs = [*texts(), "x" * 30 + "\n" + "x" * 31 + "\n" + "é" * 29 + "😀\n" + "é" * 30, "a" * 19 + "\n" + "a" * 20 + "\n" + "a" * 21]
+        got = {r.doc_id: r.text for r in ld.dedup(table(docs)).collect()}
+        assert [got[i] for i in range(len(docs))] == plain(docs)
+
+
+def test_a_megabyte_line_and_a_near_one(table):
+    import time
+
+    r = random.Random(8)
+    a = "".join(r.choice("abcdefgh ") for _ in range(1_000_000))
+    b = a[:700_000] + "Q" + a[700_001:]
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in ld.dedup(table([a, b + "\nshort line of its own", "z" + a[:300] + a[301:]])).collect()}
+    assert got[0] == a and got[1] == "short line of its own" and got[2] == "z" + a[:300] + a[301:]
+    assert time.monotonic() - began < 120
+
+
+def test_an_own_column_named_as_the_counts(table):
+    df = table(["a line\na line", None]).withColumn("lines", F.lit(5))
+    assert [(r.lines.n, r.lines.removed) for r in ld.dedup(df).orderBy("doc_id").collect()] == [(2, 1), (0, 0)]
+    assert [(r.lines, r.seen.n) for r in ld.dedup(df, into="seen").orderBy("doc_id").collect()] == [(5, 2), (5, 0)]
