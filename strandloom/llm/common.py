@@ -39,6 +39,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def count_upto(values: Column, key: Column) -> Column:
+    """How many of some ascending values are not above the key, by halving."""
+    size = F.size(values)
+    span = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        under = (s.lo < s.hi) & (F.get(values, mid) <= key)
+        return F.struct(F.when(under, mid + 1).otherwise(s.lo).alias("lo"), F.when((s.lo < s.hi) & ~under, mid).otherwise(s.hi).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int")), span, half, lambda s: s.lo)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other than ASCII white space, as an array."""
     return F.array_remove(F.split(text, BLANKS), "")
@@ -94,7 +107,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let the session hand whole texts to Python by so many rows at most, where it would take more. This stays set, as it
     counts when a plan runs and not when it is made; it changes no result. Of 10,000 texts (Spark's own number) the JVM and
     the worker each hold several copies outside the heap, and the JVM does not give that memory back."""
-    if int(spark.conf.get(BATCH, "10000")) > rows:
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= rows:
         spark.conf.set(BATCH, rows)
 
 

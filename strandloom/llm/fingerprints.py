@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, let, shingle_hashes, words
+from .common import count_upto, documents, let, shingle_hashes, words
 
 WIDTH, DIVISOR = 5, 4
 #: Rows in key order are dealt into ranges of about so many characters, at most so many ranges; cuts are the quantiles of
@@ -81,18 +81,6 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return documents(df, id_col, text_col).select("id", "text", sketch(F.col("text"), **kw).alias("sketch"))
 
 
-def _at(cuts: Column, n: int, key: Column) -> Column:
-    """How many of n ascending cuts are not above the key, by halving."""
-    span = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-
-    def half(s: Column, _: Column) -> Column:
-        mid = ((s.lo + s.hi) / 2).cast("int")
-        under = (s.lo < s.hi) & (F.get(cuts, mid) <= key)
-        return F.struct(F.when(under, mid + 1).otherwise(s.lo).alias("lo"), F.when((s.lo < s.hi) & ~under, mid).otherwise(s.hi).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), span, half, lambda s: s.lo)
-
-
 def with_next(df: DataFrame, key: str, carried: list[str], ranges: int | None = None) -> DataFrame:
     """Each row with the ``carried`` columns of the row that follows in key order, as ``next_<column>``; after the last
     comes the first. The first of ``carried`` is text and tells how much there is.
@@ -114,7 +102,7 @@ def with_next(df: DataFrame, key: str, carried: list[str], ranges: int | None =
     drawn = [r[0] for r in some.select("o").distinct().orderBy("o").select(F.to_json("o", {"ignoreNullFields": "true"})).collect()] if ranges > 1 else []
     cuts = list(dict.fromkeys(drawn[len(drawn) * i // ranges] for i in range(1, ranges))) if drawn else []
     keyed = df.withColumn("_order", order)
-    keyed = keyed.withColumn("_spot", _at(listed(cuts), len(cuts), F.col("_order")) if cuts else F.lit(0))
+    keyed = keyed.withColumn("_spot", count_upto(listed(cuts), F.col("_order")) if cuts else F.lit(0))
     found = keyed.groupBy("_spot").agg(F.min("_order").alias("o")).orderBy("_spot").select("_spot", F.to_json("o")).collect() if cuts else []
     home = F.struct(F.col("_spot").alias("spot"), F.lit(0).alias("guest"))
     if cuts:

@@ -57,7 +57,7 @@ def test_large_rates_do_not_underflow(spark, table):
 def test_many_sources_go_by_the_salted_join(table, monkeypatch):
     df = table([f"text {i}" for i in range(200)] + [None, ""])
     want = got(df)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 1)
     assert got(df) == want
 
 
@@ -67,3 +67,38 @@ def test_order_is_shuffled_and_clashing_names_stay(table):
     assert out.columns == [*df.columns, "place"]
     ids = [r.doc_id for r in out.collect()]
     assert ids != sorted(ids) and mixing.mix(table([])).count() == 0
+
+
+def test_a_rate_of_a_million(spark):
+    import time
+
+    rows = [(i, "x", "few") for i in range(3)] + [(i, "x" * 3_000, "much") for i in range(3, 1003)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    w = spark.createDataFrame([("few", 1.0)], "source string, weight double")
+    began = time.monotonic()
+    n = {r.doc_id: r["count"] for r in mixing.mix(df, weights=w, ordered=False).groupBy("doc_id").count().collect()}
+    assert set(n) == {0, 1, 2} and all(abs(x - 1_000_001) < 6_000 for x in n.values()) and len(set(n.values())) == 3
+    assert time.monotonic() - began < 60
+
+
+def test_sums_of_draws_are_poisson(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 5)
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    rows = [(i, "x" * 10, "a") for i in range(500)] + [(1000 + i, "x" * 10, "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    w = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    copies = mixing.mix(df, weights=w, total=16.0).collect()
+    n = [0] * 500
+    for r in copies:
+        n[r.doc_id] += 1
+    assert sorted((r.doc_id, r.copy) for r in copies) == [(i, c) for i in range(500) for c in range(n[i])]
+    mean = sum(n) / 500
+    assert abs(mean - 32) < 1 and 24 < sum((x - mean) ** 2 for x in n) / 499 < 41
+
+
+def test_a_rate_beyond_the_most_fails(spark):
+    import pytest
+
+    df = spark.createDataFrame([(0, "x", "few"), (1, "x" * 1000, "much")], "doc_id bigint, text string, source string")
+    with pytest.raises(Exception, match="beyond"):
+        mixing.mix(df, weights=spark.createDataFrame([("few", 1.0)], "source string, weight double"), total=1e9).count()
