@@ -133,6 +133,69 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+# What SQL can say of the results above: counts, hashes, folds and the unigram base, each through its whole operator.
+
+_CRC = """crcs AS (SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM documents)"""
+
+
+def texts_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+TEXTS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(next, 1, n // 2)) AS edited_sha256 FROM x
+"""
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM runs) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, unnest(range(0, 8)) AS o FROM twice) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(n, 0) > 30 * n_words AS base_failed
+FROM counts LEFT JOIN covered USING (doc_id)
+"""
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_langid(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == langid.UNKNOWN).alias("unknown"))
+
+
+FOLDS_SQL = f"""
+WITH {_CRC}
+SELECT d.doc_id, c.crc % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS unknown FROM documents d JOIN crcs c USING (doc_id)
+"""
+
+
+def token_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_ppm(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base"))
+
+
+TOKENS_SQL = rf"""
+WITH {_CRC},
+tokens AS (
+  SELECT d.doc_id, c.crc % 7 = 2 AS held, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '')) AS token
+  FROM documents d JOIN crcs c USING (doc_id)),
+counts AS (SELECT token, count(*) AS n FROM tokens WHERE NOT held GROUP BY token),
+size AS (SELECT coalesce(sum(n), 0) AS n, count(*) AS v FROM counts)
+SELECT t.doc_id, t.held AS held_out, count(*) AS n_tokens, count(c.n) AS n_known, (SELECT n FROM size)::BIGINT AS train_tokens,
+  round(sum(log10((coalesce(c.n, 0) + 1) / (SELECT n + v + 1 FROM size))), 4) AS base
+FROM tokens t LEFT JOIN counts c USING (token) GROUP BY t.doc_id, t.held
+"""
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_fingerprints": op1_fingerprints,
@@ -145,5 +208,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_langid": op9_langid,
     "op10_ppm": op10_ppm,
+    "texts_edited": texts_edited,
+    "quality_counts": quality_counts,
+    "language_folds": language_folds,
+    "token_base": token_base,
 }
-SQL = {"op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL, "texts_edited": TEXTS_SQL, "quality_counts": QUALITY_SQL, "language_folds": FOLDS_SQL, "token_base": TOKENS_SQL}
