@@ -304,7 +304,33 @@ def demux_paths(spark, d):
 _ADAPTER = Patterns.of("adapter", ["GATTACAGATTACA", "ACGTTGCAACGT"])
 
 
-@query()
+def _global_sql(source: str, name: str, pattern: str) -> str:
+    """CTEs that align a pattern with each distinct s of ``source``, whole with whole, a CTE for each of its bytes; the last is
+    ``name`` (s, equal, columns). A cell is one number, so that the better of two is the greater: from the top its score, the
+    way it came (2: both, 1: a gap in s), equal columns, columns. A gap in the pattern is a running greatest along s."""
+    number = lambda score, equal=0, columns=1: (score << 47) + (equal << 13) + columns
+    opened, longer, clean = number(-2), number(-1), ~(3 << 45)
+    zero = number(1 << 14, 0, 0)
+    out = f"""{name}_0 AS (SELECT s, j, {zero} + CASE WHEN j = 0 THEN 0 ELSE {number(-1, 0, 0)} + j * {longer} END AS cell, {zero // 2} AS up
+  FROM (SELECT s, unnest(range(0, length(s) + 1)) AS j FROM (SELECT DISTINCT s FROM {source}))),"""
+    for i, c in enumerate(pattern, 1):
+        out += f"""
+{name}_{i} AS (
+  SELECT s, j, up, CASE WHEN j = 0 THEN base ELSE greatest(base, coalesce(side, 0) + {opened} + (j - 1) * {longer}) & {clean} END AS cell FROM (
+    SELECT *, max((base & {clean}) - j * {longer}) OVER (PARTITION BY s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS side FROM (
+      SELECT s, j, up, CASE WHEN j = 0 THEN up ELSE greatest((before + CASE WHEN substr(s, j, 1) = '{c}' THEN {number(1, 1)} ELSE {number(-1)} END) | {2 << 45}, up | {1 << 45}) END AS base FROM (
+        SELECT s, j, greatest(cell + {opened}, up + {longer}) AS up, lag(cell) OVER (PARTITION BY s ORDER BY j) AS before FROM {name}_{i - 1})))),"""
+    return f"{out}\n{name} AS (SELECT s, (cell >> 13) & 4095 AS equal, cell & 8191 AS columns FROM {name}_{len(pattern)} WHERE j = length(s))"
+
+
+@query(f""", codes AS (SELECT idx, substr(seq1, 1, 14) AS s FROM reads),
+{_global_sql("codes", "one", "GATTACAGATTACA")},
+{_global_sql("codes", "two", "ACGTTGCAACGT")},
+best AS (
+  SELECT s, CASE WHEN a.equal / a.columns >= 0.5 THEN a.equal ELSE 0 END AS a, CASE WHEN b.equal / b.columns >= 0.5 THEN b.equal ELSE 0 END AS b FROM one a JOIN two b USING (s))
+SELECT idx, CASE WHEN b > a AND a < 12 THEN 'ACGTTGCAACGT' WHEN a > 0 THEN 'GATTACAGATTACA' ELSE 'false' END AS adapter,
+  CASE WHEN greatest(a, b) > 0 THEN length(s)::BIGINT END AS len FROM codes JOIN best USING (s)
+""")
 def aln_global(spark, d):
     got = reads(spark, d).cut("", "seq1.* -> seq1.bc, _", left_end(14)).match_any("", "seq1.bc -> seq1.hit", _ADAPTER, GlobalAln(0.5))
     return got.flat(idx="idx", adapter="{seq1.bc.adapter}", len="seq1.hit:len")
