@@ -304,28 +304,43 @@ def demux_paths(spark, d):
 _ADAPTER = Patterns.of("adapter", ["GATTACAGATTACA", "ACGTTGCAACGT"])
 
 
-def _global_sql(source: str, name: str, pattern: str) -> str:
-    """CTEs that align a pattern with each distinct s of ``source``, whole with whole, a CTE for each of its bytes; the last is
-    ``name`` (s, equal, columns). A cell is one number, so that the better of two is the greater: from the top its score, the
-    way it came (2: both, 1: a gap in s), equal columns, columns. A gap in the pattern is a running greatest along s."""
+def _align_sql(source: str, name: str, pattern: str, start: str = "both", end: str = "both") -> str:
+    """CTEs that align a pattern with each distinct s of ``source``, a CTE for each of its bytes; the last is ``name`` (s,
+    score, equal, columns, start, stop). It starts with ``both``, somewhere in the ``read`` or at ``any`` place of both, and
+    ends with ``both``, at any byte of the ``pattern`` with the read's end, or at ``any`` place. A cell is one number, so that the better of two
+    is the greater: from the top its score, the way it came (2: both, 1: a gap in s), how far left it starts, equal columns,
+    columns. A gap in the pattern is a running greatest along s."""
     number = lambda score, equal=0, columns=1: (score << 47) + (equal << 13) + columns
-    opened, longer, clean = number(-2), number(-1), ~(3 << 45)
+    opened, longer, clean, left = number(-2), number(-1), ~(3 << 45), (1 << 20) - 1
     zero = number(1 << 14, 0, 0)
-    out = f"""{name}_0 AS (SELECT s, j, {zero} + CASE WHEN j = 0 THEN 0 ELSE {number(-1, 0, 0)} + j * {longer} END AS cell, {zero // 2} AS up
+    fresh = lambda j: f"({zero + (left << 25)} - ({j}) * {1 << 25})"  # noqa: E731  an alignment that starts at j
+    local = start == "any"
+    first = fresh("j") if start != "both" else f"{fresh(0)} + CASE WHEN j = 0 THEN 0 ELSE {number(-1, 0, 0)} + j * {longer} END"
+    before = f"greatest(before, {fresh('j - 1')})" if local else "before"
+    edge = f"greatest(up, {fresh(0)})" if local else "up"
+    out = f"""{name}_0 AS (SELECT s, j, {first} AS cell, {zero // 2} AS up
   FROM (SELECT s, unnest(range(0, length(s) + 1)) AS j FROM (SELECT DISTINCT s FROM {source}))),"""
     for i, c in enumerate(pattern, 1):
         out += f"""
-{name}_{i} AS (
+{name}_{i} AS MATERIALIZED (
   SELECT s, j, up, CASE WHEN j = 0 THEN base ELSE greatest(base, coalesce(side, 0) + {opened} + (j - 1) * {longer}) & {clean} END AS cell FROM (
     SELECT *, max((base & {clean}) - j * {longer}) OVER (PARTITION BY s ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS side FROM (
-      SELECT s, j, up, CASE WHEN j = 0 THEN up ELSE greatest((before + CASE WHEN substr(s, j, 1) = '{c}' THEN {number(1, 1)} ELSE {number(-1)} END) | {2 << 45}, up | {1 << 45}) END AS base FROM (
+      SELECT s, j, up, CASE WHEN j = 0 THEN {edge} ELSE greatest(({before} + CASE WHEN substr(s, j, 1) = '{c}' THEN {number(1, 1)} ELSE {number(-1)} END) | {2 << 45}, up | {1 << 45}) END AS base FROM (
         SELECT s, j, greatest(cell + {opened}, up + {longer}) AS up, lag(cell) OVER (PARTITION BY s ORDER BY j) AS before FROM {name}_{i - 1})))),"""
-    return f"{out}\n{name} AS (SELECT s, (cell >> 13) & 4095 AS equal, cell & 8191 AS columns FROM {name}_{len(pattern)} WHERE j = length(s))"
+    if end == "any":  # the best of all cells, the first of equals
+        each = " UNION ALL ".join(f"SELECT s, max(cell) AS cell, {i} AS i, arg_max(j, (cell, -j)) AS j FROM {name}_{i} GROUP BY s" for i in range(len(pattern) + 1))
+        ends = f"SELECT s, max(cell) AS cell, arg_max(j, (cell, -i)) AS stop FROM ({each}) GROUP BY s"
+    elif end == "pattern":
+        each = " UNION ALL ".join(f"SELECT s, cell FROM {name}_{i} WHERE j = length(s)" for i in range(len(pattern) + 1))
+        ends = f"SELECT s, max(cell) AS cell, length(s) AS stop FROM ({each}) GROUP BY s"
+    else:
+        ends = f"SELECT s, cell, j AS stop FROM {name}_{len(pattern)} WHERE j = length(s)"
+    return f"{out}\n{name} AS (SELECT s, (cell >> 47) - {1 << 14} AS score, (cell >> 13) & 4095 AS equal, cell & 8191 AS columns, {left} - ((cell >> 25) & {left}) AS start, stop FROM ({ends}))"
 
 
 @query(f""", codes AS (SELECT idx, substr(seq1, 1, 14) AS s FROM reads),
-{_global_sql("codes", "one", "GATTACAGATTACA")},
-{_global_sql("codes", "two", "ACGTTGCAACGT")},
+{_align_sql("codes", "one", "GATTACAGATTACA")},
+{_align_sql("codes", "two", "ACGTTGCAACGT")},
 best AS (
   SELECT s, CASE WHEN a.equal / a.columns >= 0.5 THEN a.equal ELSE 0 END AS a, CASE WHEN b.equal / b.columns >= 0.5 THEN b.equal ELSE 0 END AS b FROM one a JOIN two b USING (s))
 SELECT idx, CASE WHEN b > a AND a < 12 THEN 'ACGTTGCAACGT' WHEN a > 0 THEN 'GATTACAGATTACA' ELSE 'false' END AS adapter,
@@ -336,19 +351,54 @@ def aln_global(spark, d):
     return got.flat(idx="idx", adapter="{seq1.bc.adapter}", len="seq1.hit:len")
 
 
-@query()
+@query(f""", whole AS (SELECT idx, seq1 AS s FROM reads),
+{_align_sql("whole", "one", "GATTACAGATTACA", "any", "any")},
+{_align_sql("whole", "two", "ACGTTGCAACGT", "any", "any")},
+best AS (
+  SELECT s, CASE WHEN a.columns > 0 AND a.equal / a.columns >= 0.8 AND a.equal / 14 >= 0.6 THEN a.equal ELSE 0 END AS a,
+    CASE WHEN b.columns > 0 AND b.equal / b.columns >= 0.8 AND b.equal / 12 >= 0.6 THEN b.equal ELSE 0 END AS b,
+    a.start AS a_start, a.stop AS a_stop, b.start AS b_start, b.stop AS b_stop FROM one a JOIN two b USING (s)),
+picked AS (SELECT *, CASE WHEN b > a AND a < 12 THEN 2 WHEN a > 0 THEN 1 END AS k FROM best)
+SELECT idx, CASE k WHEN 2 THEN 'ACGTTGCAACGT' WHEN 1 THEN 'GATTACAGATTACA' ELSE 'false' END AS adapter,
+  CASE k WHEN 2 THEN b_start WHEN 1 THEN a_start END::BIGINT AS start, CASE k WHEN 2 THEN b_stop - b_start WHEN 1 THEN a_stop - a_start END::BIGINT AS len
+FROM whole JOIN picked USING (s)
+""")
 def aln_local(spark, d):
     got = reads(spark, d).match_any("", "seq1.* -> seq1.l, seq1.hit, seq1.r", _ADAPTER, LocalAln(0.8, 0.6))
     return got.flat(idx="idx", adapter="{seq1.*.adapter}", start="seq1.hit:start", len="seq1.hit:len")
 
 
-@query()
+def _end_sql(prefix: bool) -> str:
+    """CTE ``picked`` (idx, n, k, at): which pattern, if any, has an end of the read, and how many bytes of it."""
+    out = ""
+    for name, pattern, width in (("one", "GATTACAGATTACA", 19), ("two", "ACGTTGCAACGT", 16)):
+        side = f"reverse(substr(seq1, 1, {width}))" if prefix else f"right(seq1, {width})"
+        p = pattern[::-1] if prefix else pattern
+        short = "stop < length(s) AND score > 0"
+        out += f""", {name}_src AS (SELECT idx, {side} AS s FROM reads),
+{_align_sql(f"{name}_src", f"{name}_a", p, "read", "any")},
+{name}_left AS (SELECT substr(s, start + 1) AS s FROM {name}_a WHERE {short}),
+{_align_sql(f"{name}_left", f"{name}_b", p, "both", "pattern")},
+{name}_all AS (SELECT a.s, a.start, coalesce(b.equal, a.equal) AS equal, coalesce(b.columns, a.columns) AS columns
+  FROM (SELECT *, CASE WHEN {short} THEN substr(s, start + 1) END AS rest FROM {name}_a) a LEFT JOIN {name}_b b ON b.s = a.rest),
+{name} AS (SELECT idx, length(s) - start AS size, CASE WHEN columns > 0 AND equal / columns >= 0.7 AND equal / {len(p)} >= 0.4 THEN equal ELSE 0 END AS equal
+  FROM {name}_src JOIN {name}_all USING (s))"""
+    return f"""{out},
+picked AS (SELECT idx, n, CASE WHEN b.equal > a.equal AND a.equal < 12 THEN 2 WHEN a.equal > 0 THEN 1 END AS k, CASE WHEN b.equal > a.equal AND a.equal < 12 THEN b.size ELSE a.size END AS size
+  FROM reads JOIN one a USING (idx) JOIN two b USING (idx))
+"""
+
+
+_ADAPTERS = "CASE k WHEN 2 THEN 'ACGTTGCAACGT' WHEN 1 THEN 'GATTACAGATTACA' ELSE 'false' END AS adapter"
+
+
+@query(f"{_end_sql(True)} SELECT idx, {_ADAPTERS}, CASE WHEN k > 0 THEN size::BIGINT END AS len FROM picked")
 def aln_prefix(spark, d):
     got = reads(spark, d).match_any("", "seq1.* -> seq1.hit, seq1.r", _ADAPTER, PrefixAln(0.7, 0.4))
     return got.flat(idx="idx", adapter="{seq1.*.adapter}", len="seq1.hit:len")
 
 
-@query()
+@query(f"{_end_sql(False)} SELECT idx, {_ADAPTERS}, CASE WHEN k > 0 THEN (n - size)::BIGINT END AS start, CASE WHEN k > 0 THEN size::BIGINT END AS len FROM picked")
 def aln_suffix(spark, d):
     got = reads(spark, d).match_any("", "seq1.* -> seq1.l, seq1.hit", _ADAPTER, SuffixAln(0.7, 0.4))
     return got.flat(idx="idx", adapter="{seq1.*.adapter}", start="seq1.hit:start", len="seq1.hit:len")
