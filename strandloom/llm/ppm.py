@@ -38,7 +38,7 @@ from .common import discard, documents, save
 
 ORDER, END, BEFORE, SYMBOLS, BITS = 5, 256, 257, 257, 9
 #: A chunk is scored so many bytes at a time.
-FREQUENT, CHUNK, CHUNK_BYTES = 200_000, 1 << 19, 8 << 20
+FREQUENT, CHUNK, CHUNK_BYTES = 200_000, 1 << 19, 32 << 20
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def count_contexts(docs: DataFrame, order: int = ORDER, by: str | None = None) -
     then each of its numbers' distinct keys instead, as rows of it and key."""
 
     def count(batches):
-        held, rows, now = [], 0, 0
+        held, rows, most, now = [], 0, 1_000_000, 0
 
         def flush():
             keys, n = merged(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
@@ -114,9 +114,13 @@ def count_contexts(docs: DataFrame, order: int = ORDER, by: str | None = None) -
                     yield int(own[a]), texts[a:b]
 
         for mine, texts in texts_of():
-            if held and (rows > 1_000_000 or mine != now):
+            if held and (mine != now or (rows > most and by is None)):
                 yield from flush()
-                held, rows = [], 0
+                held, rows, most = [], 0, 1_000_000
+            elif rows > most:  # a chunk's keys are given once
+                held = [merged(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+                rows = len(held[0][0])
+                most = max(most, 2 * rows)
             now = mine
             keys = np.sort(contexts(texts, order)[0])
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
