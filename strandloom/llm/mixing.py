@@ -11,7 +11,7 @@ found by halving.
 
 Defined results: a null source is a source of its own; a null or empty text has size 0 but is drawn like any other document
 of its source; documents that repeat an id share a draw; a source without a target weight, or of no size, has rate 0. Rates
-beyond ``MOST`` fail.
+beyond ``MOST`` fail (a document's copies are numbered in one array of 4 bytes each).
 """
 
 from __future__ import annotations
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import count_upto, save
 
-PART, MOST = 10_000, 1_000_000_000
-#: Copies of a document are made so many at a time.
-BLOCK = 1 << 16
+PART, MOST = 10_000, 10_000_000
 #: Where all sources' lists together have so many numbers at most (8 bytes each), they are sent to every task; beyond, they
 #: are joined with the documents salted, so that a source of any share is dealt over many tasks.
 BROADCAST_STEPS, SALTS = 1_000_000, 64
@@ -101,9 +99,7 @@ def mix(
     )
     n = F.when(F.col("parts") == 1, first.cast("bigint")).otherwise(others)
     drawn = drawn.withColumn("_u", keyed_uniform(f"{seed}:n", named)).select("row", "_id", n.alias("_n")).where("_n > 0")
-    last = F.least(F.col("_n"), F.col("_b") * BLOCK + BLOCK) - 1
-    blocks = drawn.select("row", "_id", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK).cast("int"))).alias("_b"))
-    copies = blocks.select("row", "_id", F.explode(F.sequence((F.col("_b") * BLOCK).cast("int"), last.cast("int"))).alias("copy"))
+    copies = drawn.select("row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("copy"))
     place = keyed_uniform(f"{seed}:place", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.col("copy"))
     out = copies.select("row", "copy", place.alias("place"))
     out = out.orderBy("place") if ordered else out

@@ -83,7 +83,6 @@ def test_a_rate_of_a_million(spark):
 
 def test_sums_of_draws_are_poisson(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PART", 5)
-    monkeypatch.setattr(mixing, "BLOCK", 7)
     rows = [(i, "x" * 10, "a") for i in range(500)] + [(1000 + i, "x" * 10, "b") for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     w = spark.createDataFrame([("a", 1.0)], "source string, weight double")
