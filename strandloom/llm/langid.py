@@ -122,7 +122,8 @@ def predict(df: DataFrame, profiles: Profiles, text_col: str = "text", into: tup
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang", "score"])
 
     name = free_name(df, "_found")
-    found = df.withColumn(name, find(F.col(f"`{text_col}`")))
+    # else a filter on the result goes below it and finds the language a second time, in workers of its own
+    found = df.withColumn(name, find.asNondeterministic()(F.col(f"`{text_col}`")))
     return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in into], F.col(f"`{name}`.lang").alias(into[0]), F.col(f"`{name}`.score").alias(into[1]))
 
 

@@ -27,6 +27,11 @@ def test_language_stage_drops_what_it_cannot_tell(spark, docs):
     assert {r.doc_id for r in out.collect()} == want and {r.lang for r in out.collect()} == {"en"}
 
 
+def test_language_is_found_once_a_document(spark, docs):
+    plan = cp.language_id(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_line_stage(spark, docs):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     got = sorted(cp.line_deduplication(spark, docs, "").collect(), key=lambda r: r.doc_id)
