@@ -23,17 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, save
+from .common import documents, let, save
 
 MIN_CHARS = 16
-#: Lines from so many characters on emit their variants from running sums.
+#: Lines from so many characters on emit the variants of those pieces only in which they may be near another.
 LONG = 2000
 #: Up to so many lines that may be near others (8 bytes each) are sent to every task; beyond, lines are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
 
 def _blank(line: Column) -> Column:
-    return F.translate(line, " \t\x0b\x0c\r", "") == ""
+    """Looks no further than the first character of a word."""
+    return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) == ""
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -62,18 +63,29 @@ def _variants(picked: DataFrame) -> DataFrame:
 
 
 def _long_variants(picked: DataFrame) -> DataFrame:
-    """The same in time that grows with the line's length and not with its square. A key is a sum over the characters, each
-    hashed with its place; leaving one out moves those behind it one place back, so all variants follow from two running
-    sums. Keys are not those of :func:`_variants`; lines of LONG characters take both ways, so each near pair shares one."""
-    chars = picked.select("h", "at", "n", F.posexplode(F.split("line", "")).alias("p", "c"))
-    low = lambda place, seed: F.xxhash64("c", place, F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))  # noqa: E731  sums of 2^23 fit
-    rows = chars.select("h", "at", "n", (F.col("p") + 1).alias("i"), *[low(F.col("p") - d, k).alias(f"{x}{k}") for x, d in (("a", 0), ("b", 1)) for k in (0, 1)])
-    ahead, whole = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("h")
-    behind = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda k: F.coalesce(F.sum(f"a{k}").over(ahead), F.lit(0)) + F.sum(f"b{k}").over(whole) - F.sum(f"b{k}").over(behind)
-    each = rows.select(F.xxhash64(of(0), of(1)).alias("v"), "i", "h", "at", "n")
-    full = rows.groupBy("h", "at", "n").agg(F.xxhash64(F.sum("a0"), F.sum("a1")).alias("v"))
-    return each.union(full.select("v", F.lit(0).alias("i"), "h", "at", "n"))
+    """The same for long lines, without a row for each character. A line of m or m + 1 characters is cut after each w of m,
+    w about the root of m. Lines with one edit between them are equal ahead of the piece it is in, and behind that (from the
+    end), so only pieces that another line shares in this way are open, and only their characters are left out one by one.
+    Keys are not those of :func:`_variants`; lines of LONG characters take both ways, so each near pair shares one."""
+    m, w, more = F.col("m"), F.col("w"), F.col("n") - F.col("m")
+    pieces = F.sequence(F.lit(0), F.ceil(m / w).cast("int") - 1)
+    size = lambda j: F.least(w, m - j * w)
+
+    def keyed(c: Column) -> Column:
+        cut = lambda d: F.transform(pieces, lambda j: F.xxhash64(F.slice(c, j * w + d + 1, size(j))))
+        around = lambda x, j: (F.xxhash64(F.slice(x.a, 1, j)), F.xxhash64(F.slice(x.b, j + 2, F.size(x.b))))
+        mid = lambda j: F.array_join(F.slice(c, j * w + 1, size(j) + more), "")
+        one = lambda x, j: F.struct(F.xxhash64(m, j, *around(x, j)).alias("k"), (j * w).alias("base"), mid(j).alias("mid"))
+        return let(F.struct(cut(F.lit(0)).alias("a"), cut(more).alias("b")), lambda x: F.transform(pieces, lambda j: one(x, j)))
+
+    each = picked.select("h", "at", "n", "line", F.explode(F.array("n", F.col("n") - 1)).alias("m")).where("m > 0")
+    each = each.withColumn("w", F.ceil(F.sqrt("m")).cast("int"))
+    cut = save(each.select("h", "at", "n", "m", F.explode(let(F.split("line", ""), keyed)).alias("x")).select("h", "at", "n", "m", "x.*"))
+    shared = cut.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
+    places = F.sequence(F.when(F.col("n") == m, 0).otherwise(1), F.char_length("mid"))
+    spots = cut.join(shared, "k").select("k", "base", "mid", "h", "at", "n", F.explode(places).alias("p"))
+    left_out = F.when(F.col("p") == 0, F.col("mid")).otherwise(F.expr("concat(substr(mid, 1, p - 1), substr(mid, p + 1))"))
+    return spots.select(F.xxhash64("k", left_out).alias("v"), F.when(F.col("p") == 0, 0).otherwise(F.col("base") + F.col("p")).alias("i"), "h", "at", "n")
 
 
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +98,7 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
     few = some.count() <= BROADCAST_LINES
     lines = _split(docs).select("at", "line", "h", "n")
     picked = lines.join(F.broadcast(some) if few else some, "h").groupBy("h", "n").agg(F.min("at").alias("at"), F.min("line").alias("line"))
+    picked = save(picked)  # several branches read it, and the documents should not be split for each
     variants = _variants(picked.where(F.col("n") <= LONG)).union(_long_variants(picked.where(F.col("n") >= LONG)))
     group, same = Window.partitionBy("v"), Window.partitionBy("v", "i")
     here = F.struct("at", "h", "i")

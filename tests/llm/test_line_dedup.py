@@ -100,3 +100,25 @@ def test_an_own_column_named_as_the_counts(table):
     df = table(["a line\na line", None]).withColumn("lines", F.lit(5))
     assert [(r.lines.n, r.lines.removed) for r in ld.dedup(df).orderBy("doc_id").collect()] == [(2, 1), (0, 0)]
     assert [(r.lines, r.seen.n) for r in ld.dedup(df, into="seen").orderBy("doc_id").collect()] == [(5, 2), (5, 0)]
+
+
+def test_documents_are_not_split_again_for_each_use_of_the_near_lines(spark, table, tmp_path):
+    table(texts()).select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    _, near = ld.near_lines(ld.documents(spark.read.parquet(str(tmp_path / "d"))))
+    assert near.count() and not any(str(tmp_path) in f for f in near.inputFiles())
+
+
+def test_blank_lines(spark):
+    lines = ["", " ", "\t \x0b\x0c\r", "\u00a0", " a", "a ", "\r\u3000", "\x00", "\u00e9 "]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", ld._blank(F.col("line")).alias("b")).collect()
+    assert {r.line: r.b for r in got} == {x: not x.strip(" \t\x0b\x0c\r") for x in lines}
+
+
+def test_long_lines_emit_the_variants_of_shared_pieces_only(table, monkeypatch):
+    r = random.Random(5)
+    body = "".join(r.choice("abcdefgh ") for _ in range(2500))
+    lines = [f"{i * 7919:06d} {body}" for i in range(20)]  # share their last half, differ in some of six characters
+    picked = table(lines).selectExpr("xxhash64(text) as h", "doc_id as at", "char_length(text) as n", "text as line")
+    assert 0 < ld._long_variants(picked).count() < 20 * 150
+    near = [lines[0], lines[1], lines[1][:40] + "Q" + lines[1][41:], lines[2], lines[2] + "Q", lines[3], "Q" + lines[3], lines[4], lines[4][:2000] + lines[4][2001:]]
+    assert [x.text for x in ld.dedup(table(near)).orderBy("doc_id").collect()] == plain(near) == [lines[0], lines[1], "", lines[2], "", lines[3], "", lines[4], ""]
