@@ -27,7 +27,7 @@ from .common import documents, let, save
 
 MIN_CHARS = 16
 #: Lines from so many characters on emit the variants of those pieces only in which they may be near another.
-LONG = 2000
+LONG = 256
 #: Up to so many lines that may be near others (8 bytes each) are sent to every task; beyond, lines are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
