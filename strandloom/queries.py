@@ -6,6 +6,10 @@ become mate pairs: a turn of even number and the one that answers it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from .sources.sink import records
 
 SIZE = 100
 _ABC, _DNA = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+#: A task for so many bytes of a table's files (a text has about twice as many, its reads ten times), and so many bytes of text cut at a time.
+PART, CHUNK = 16 << 20, 4 << 20
 
 
 def _dna(c):
@@ -31,19 +37,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, over all cores; larger ones as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A table over all cores and over a task for every PART bytes of its files, so that a task's share does not grow with
+    the table; one of as many files already as it is."""
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // PART))
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
+_TO_DNA, _TO_QUAL = bytes.maketrans(_ABC.encode(), _DNA.encode()), bytes.maketrans(b"ACGT", b"IH5+")
+_NO_LETTER = bytes(set(range(256)) - set(_ABC.encode()))
+
+
+def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, k, seq and qual of each read of doc_id and text (in small letters), about CHUNK bytes of text at a time."""
+    for batch in batches:
+        ids, texts, at = batch["doc_id"], batch["text"].cast(pa.binary()).to_pylist(), 0
+        while at < len(texts):
+            whole, size, first = [], 0, at
+            while at < len(texts) and size < CHUNK:
+                whole.append((texts[at] or b"").translate(_TO_DNA, _NO_LETTER))
+                size += len(texts[at] or b"")
+                at += 1
+            sizes = np.array([len(x) for x in whole], np.int64)
+            n = -(-sizes // SIZE)
+            owner = np.repeat(np.arange(len(whole)), n)
+            k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            ends = np.append((np.cumsum(sizes) - sizes)[owner] + k * SIZE, sizes.sum()).astype(np.int32)
+            data = b"".join(whole)
+            seq, qual = (pa.StringArray.from_buffers(len(k), pa.py_buffer(ends), pa.py_buffer(x)) for x in (data, data.translate(_TO_QUAL)))
+            yield pa.record_batch({"doc_id": ids.take(pa.array(first + owner)), "k": pa.array(k.astype(np.int32)), "seq": seq, "qual": qual})
 
 
 def reads(spark: SparkSession, sf_dir: str) -> Reads:
-    whole = _table(spark, sf_dir).select("doc_id", _dna(F.col("text")).alias("s"))
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / SIZE).cast("int"))).alias("k")
-    rows = _spread(whole.where(F.length("s") > 0)).select("doc_id", "s", k)
-    seq = F.substring("s", F.col("k") * SIZE + 1, F.lit(SIZE))
-    rows = rows.select((F.col("doc_id") * 1000000 + F.col("k")).alias("idx"), F.concat(F.lit("doc"), "doc_id", F.lit("."), "k").alias("name"), seq.alias("seq"))
-    return Reads.from_dataframe(rows.withColumn("qual", F.translate("seq", "ACGT", "IH5+")), "idx", name1="name", seq1="seq", qual1="qual")
+    whole = _spread(_table(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"))
+    kind = whole.schema["doc_id"].dataType.simpleString()
+    rows = whole.mapInArrow(cut_up, f"doc_id {kind}, k int, seq string, qual string")
+    rows = rows.select((F.col("doc_id") * 1000000 + F.col("k")).alias("idx"), F.concat(F.lit("doc"), "doc_id", F.lit("."), "k").alias("name"), "seq", "qual")
+    return Reads.from_dataframe(rows, "idx", name1="name", seq1="seq", qual1="qual")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> Reads:
