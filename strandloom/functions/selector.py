@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from ..errors import ExpressionError
 from ..names import Attr, Label, parse_name
@@ -49,8 +50,11 @@ _TOKEN = re.compile(r"\s*([A-Za-z0-9_*.]+|[&|!()])")
 
 
 def sel(text: str | Node = "") -> Node:
-    if not isinstance(text, str):
-        return text
+    return _parsed(text) if isinstance(text, str) else text
+
+
+@lru_cache(4096)
+def _parsed(text: str) -> Node:
     tokens, at = [], 0
     while text[at:].strip():
         m = _TOKEN.match(text, at)

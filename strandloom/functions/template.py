@@ -8,6 +8,7 @@ takes the next character as it is. Nothing is evaluated that is repeated no time
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from ..errors import ExpressionError
 from ..names import Attr, Label, attr, parse_name
@@ -66,8 +67,11 @@ def _filled(inside: str) -> Part:
 
 
 def template(text: str | tuple) -> tuple[Part, ...]:
-    if isinstance(text, tuple):
-        return text
+    return text if isinstance(text, tuple) else _parsed(text)
+
+
+@lru_cache(4096)
+def _parsed(text: str) -> tuple[Part, ...]:
     parts: list[Part] = []
     plain, inside, i = "", None, 0
     while i < len(text):

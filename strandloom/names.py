@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 from .errors import ExpressionError
 
@@ -53,14 +54,18 @@ class Attr:
     def __str__(self) -> str:
         return f"{self.type}.{self.label}.{self.attr}"
 
-    @property
+    @cached_property
     def of(self) -> Label:
         return Label(self.type, self.label)
 
 
 def parse_name(text: str | Label | Attr) -> Label | Attr:
-    if isinstance(text, Label | Attr):
-        return text
+    return text if isinstance(text, (Label, Attr)) else _parsed(text)
+
+
+@lru_cache(4096)
+def _parsed(text: str) -> Label | Attr:
+    """User functions give the same few names for every read."""
     parts = text.split(".")
     if len(parts) not in (2, 3):
         raise ExpressionError(f"{text!r} is neither type.label nor type.label.attribute")
@@ -68,6 +73,7 @@ def parse_name(text: str | Label | Attr) -> Label | Attr:
     return Label(kind, checked(parts[1])) if len(parts) == 2 else Attr(kind, checked(parts[1]), checked(parts[2]))
 
 
+@lru_cache(4096)
 def label(text: str | Label) -> Label:
     got = parse_name(text)
     if not isinstance(got, Label):
@@ -75,6 +81,7 @@ def label(text: str | Label) -> Label:
     return got
 
 
+@lru_cache(4096)
 def attr(text: str | Attr) -> Attr:
     got = parse_name(text)
     if not isinstance(got, Attr):

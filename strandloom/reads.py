@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import sys
 import time as clock
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ExpressionError, ReadNameError
@@ -391,16 +391,23 @@ class Reads:
             df = df if c in self.df.columns else df.withColumn(c, values.absent())
         kept = df.drop("_chosen").schema
 
+        names = schema.columns()
+
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.to_pylist()
-                for row in rows:
-                    if row.pop("_chosen"):
-                        read = to_read(row, schema)
+                rows, changed = [as_tuples(batch[c]) for c in names], set()
+                for i, on in enumerate(batch["_chosen"].to_pylist()):
+                    if on:
+                        read = to_read({c: x[i] for c, x in zip(names, rows, strict=True)}, schema)
                         function(read)
-                        row.update(from_read(read, schema))
-                names = [n for n in batch.schema.names if n != "_chosen"]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([batch.schema.field(n) for n in names]))
+                        made = from_read(read, schema)
+                        for c, x in zip(names, rows, strict=True):
+                            if c in made and made[c] != x[i]:
+                                x[i] = made[c]
+                                changed.add(c)
+                got = {c: pa.array(x, batch[c].type) for c, x in zip(names, rows, strict=True) if c in changed}
+                fields = [f for f in batch.schema if f.name != "_chosen"]
+                yield pa.record_batch([got[f.name] if f.name in got else batch[f.name] for f in fields], schema=pa.schema(fields))
 
         return replace(self, df=df.mapInArrow(apply, kept), schema=schema)
 
@@ -497,7 +504,7 @@ class Reads:
         """All reads, in order of index, to the driver; effects are done too."""
         if self.effects:
             self.run()
-        rows = [to_read(r.asDict(True), self.schema) for r in self.df.select(*self.schema.columns()).collect()]
+        rows = [to_read(r, self.schema) for r in self.df.select(*self.schema.columns()).collect()]
         return sorted(rows, key=lambda r: min((s.idx for s in r.strands.values() if s.idx is not None), default=0))
 
     run_collect_reads = collect
@@ -549,35 +556,56 @@ def _in_session(reads: Reads) -> None:
     type(spark)._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
 
 
-def to_read(row: dict, schema: Schema) -> Read:
-    strands = {}
-    for kind in schema.types:
-        s = row[Schema.column(kind)]
-        strands[kind] = Strand(s["str"], s["qual"], s["origin"], s["idx"])
+def as_tuples(column: pa.StructArray) -> list[tuple | None]:
+    """The rows of a string, label or attribute column."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    rows = list(zip(*map(_listed, column.flatten()), strict=True))
+    return [r if there else None for r, there in zip(rows, column.is_valid().to_pylist(), strict=True)] if column.null_count else rows
+
+
+def _listed(x: pa.Array) -> list:
+    """``to_pylist`` by way of numpy, many times as fast, where that has the same values."""
+    if x.null_count == len(x):
+        return [None] * len(x)
+    return x.to_pylist() if x.null_count and x.type != pa.string() else x.to_numpy(zero_copy_only=False).tolist()
+
+
+def to_read(row: Mapping[str, tuple | None] | Row, schema: Schema) -> Read:
+    strands = {kind: Strand(*row[Schema.column(kind)]) for kind in schema.types}
     for x, c in schema.labels.items():
-        if row[c] is not None:
-            strands[x.type].labels[x.label] = [row[c]["start"], row[c]["len"]]
+        if (span := row[c]) is not None:
+            strands[x.type].labels[x.label] = list(span)
     for x, c in schema.attrs.items():
         if (v := row[c]) is not None:
-            strands[x.type].attrs[x.label, x.attr] = (v["b"], v["u"], v["s"])[v["kind"]]
+            strands[x.type].attrs[x.label, x.attr] = v[1 + v[0]]
     return Read(strands)
 
 
-def from_read(read: Read, schema: Schema) -> dict:
-    out: dict = {}
+def from_read(read: Read, schema: Schema) -> dict[str, tuple | None]:
+    out, left = {}, 0  # left: names that the schema's have not met
     for kind, s in read.strands.items():
-        out[Schema.column(kind)] = {"str": s.text, "qual": s.qual, "origin": s.origin, "idx": s.idx}
-        for name in s.labels:
-            if Label(kind, name) not in schema.labels:
-                raise ReadNameError(f"{kind}.{name} was not named as a label that the function makes")
-        for lb, a in s.attrs:
-            if Attr(kind, lb, a) not in schema.attrs:
-                raise ReadNameError(f"{kind}.{lb}.{a} was not named as an attribute that the function makes")
+        out[Schema.column(kind)] = s.text, s.qual, s.origin, s.idx
+        left += len(s.labels) + len(s.attrs)
     for x, c in schema.labels.items():
         span = read.strands[x.type].labels.get(x.label)
-        out[c] = None if span is None else {"start": span[0], "len": span[1]}
+        left -= span is not None
+        out[c] = None if span is None else tuple(span)
     for x, c in schema.attrs.items():
         v = read.strands[x.type].attrs.get((x.label, x.attr))
+        left -= v is not None
         kind = 0 if isinstance(v, bool) else 1 if isinstance(v, int) else 2
-        out[c] = None if v is None else {"kind": kind, "b": v if kind == 0 else None, "u": v if kind == 1 else None, "s": v if kind == 2 else None}
+        out[c] = None if v is None else (kind, v if kind == 0 else None, v if kind == 1 else None, v if kind == 2 else None)
+    if left:
+        _all_named(read, schema)
     return out
+
+
+def _all_named(read: Read, schema: Schema) -> None:
+    for kind, s in read.strands.items():
+        for name in s.labels:
+            if Label(kind, name) not in schema.labels:
+                raise ReadNameError(f"{kind}.{name} was not named as a label that the function makes")
+        for lb, a in s.attrs:
+            if Attr(kind, lb, a) not in schema.attrs:
+                raise ReadNameError(f"{kind}.{lb}.{a} was not named as an attribute that the function makes")
