@@ -318,25 +318,23 @@ def _unigrams(texts: list[bytes], logs: dict[bytes, float]) -> dict[str, pa.Arra
     return {"n": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "log": pa.array(total, pa.float64()), "rare": rare}
 
 
-def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``, by what ``training`` has."""
-    if not 1 <= order <= 6:
-        raise ValueError("order must be from 1 to 6")
-    docs, train = documents(df, id_col, text_col), documents(training, id_col, text_col)
-    tokens = save(count_tokens(train))
-    big_n, big_v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    base = float(np.log10(big_n + big_v + 1))
-    # the words of the largest counts, by powers of two, so that their number is bounded whatever the corpus
-    tall = sorted(tokens.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect(), reverse=True)
-    least, held = None, 0
-    for p, k in tall:
-        held += k
-        if held > frequent:
-            break
-        least = 1 << p
-    common = {bytes(r.token): float(np.log10(r.n + 1)) for r in tokens.where(F.col("n") >= least).collect()} if least else {}
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+_BASE = "n bigint, known bigint, log double, rare array<struct<token:binary,k:bigint>>"
+
+
+def _based(docs: DataFrame, sent) -> DataFrame:
+    """id and row of every document with what :func:`_unigrams` tells of its text."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            more = _unigrams(batch["text"].cast(pa.binary()).to_pylist(), sent.value)
+            yield pa.record_batch({"id": batch["id"], "row": batch["row"], **more})
+
+    return save(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"id {kind}, row bigint, {_BASE}"))
 
+
+def _scored(docs: DataFrame, train: DataFrame, order: int, sent) -> DataFrame:
+    """The same with the score of each by the trie of ``train``."""
     counts = save(count_contexts(train, order))
     dealt = save(deal(docs.withColumn("row", F.monotonically_increasing_id())))
     needs = save(count_contexts(dealt, order, "chunk"))
@@ -358,10 +356,34 @@ def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
         return pa.table({"id": left["id"], "row": left["row"], "score": np.concatenate(scores), **more})
 
     kind = f"{dealt.schema['id'].dataType.simpleString()}"
-    fields = f"id {kind}, row bigint, score double, n bigint, known bigint, log double, rare array<struct<token:binary,k:bigint>>"
-    first = save(dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, fields))
+    fields = f"id {kind}, row bigint, score double, {_BASE}"
+    out = save(dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, fields))
     for x in (dealt, known, counts, asked):
         discard(x)
+    return out
+
+
+def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: int = FREQUENT, scores: bool = True) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score of every row of ``df``, by what ``training`` has. Without
+    ``scores`` the last column is left out, and the trie that only it needs is not made."""
+    if not 1 <= order <= 6:
+        raise ValueError("order must be from 1 to 6")
+    docs, train = documents(df, id_col, text_col), documents(training, id_col, text_col)
+    tokens = save(count_tokens(train))
+    big_n, big_v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    base = float(np.log10(big_n + big_v + 1))
+    # the words of the largest counts, by powers of two, so that their number is bounded whatever the corpus
+    tall = sorted(tokens.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect(), reverse=True)
+    least, held = None, 0
+    for p, k in tall:
+        held += k
+        if held > frequent:
+            break
+        least = 1 << p
+    common = {bytes(r.token): float(np.log10(r.n + 1)) for r in tokens.where(F.col("n") >= least).collect()} if least else {}
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    first = _scored(docs, train, order, sent) if scores else _based(docs, sent)
     others = first.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.k").join(tokens, "token")
     others = others.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("s"))
     out = first.drop("rare").join(others, "row", "left")
@@ -371,5 +393,5 @@ def evaluate(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(big_n).cast("bigint").alias("train_tokens"),
         (F.col("log") + F.coalesce("s", F.lit(0.0)) - F.col("n") * F.lit(base)).alias("base_score"),
-        "score",
+        *["score"] * scores,
     )
