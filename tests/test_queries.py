@@ -49,3 +49,16 @@ def test_a_larger_table_is_more_tasks_of_the_same_share(spark, folder, monkeypat
     tasks = kept.df.select(F.spark_partition_id().alias("p")).groupBy("p").count().count()
     kept.release()
     assert tasks > 2 * cores
+
+
+def test_a_long_text_costs_no_more_than_its_length(spark, tmp_path):
+    import time
+
+    text = "caddab" * 1_000_000  # GATTAC
+    spark.createDataFrame([(0, text), (1, "aaacaddab"), (2, "c")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = queries.fastq_two_sinks(spark, str(tmp_path)).groupBy("side").agg(F.count("*"), F.max("idx"), F.sum(F.length("seq1"))).orderBy("side").collect()
+    took = time.monotonic() - began  # with each read counted off from the text's start, 180 billion characters are walked
+    starts_a = sum(k * 100 % 6 in (1, 4) for k in range(60_000))
+    assert [tuple(r) for r in got] == [("a", starts_a + 1, starts_a, 100 * starts_a + 9), ("b", 60_000 - starts_a, 59_999 - starts_a, 100 * (60_000 - starts_a))]
+    assert took < 40
